@@ -36,61 +36,45 @@ KEY_VALUES = T.ArrayType(T.StructType([
     T.StructField("key", T.StringType()), T.StructField("value", any_value_type())]))
 
 
-def double_text(value: Column) -> Column:
+def _double_sql(x: str) -> str:
     """Shortest decimal text without exponent; integral values carry no fraction."""
-    plain = F.when(
-        F.abs(value) < 1e18, F.when(value == F.floor(value), F.floor(value).cast("string"))
-    )
-    spread = F.when(
-        (F.abs(value) >= 1e-3) & (F.abs(value) < 1e7), value.cast("string")
-    ).otherwise(
-        # Java text has an exponent here; a decimal of the same shortest digits has not.
-        F.regexp_replace(value.try_cast("string").try_cast("decimal(38,18)").cast("string"),
-                         "\\.?0+$", "")
-    )
-    wide = F.coalesce(value.cast("string").try_cast("decimal(38,0)").cast("string"),
-                      value.cast("string"))
-    odd = (F.when(F.isnan(value), "NaN").when(value == float("inf"), "inf")
-           .when(value == float("-inf"), "-inf"))
-    return F.coalesce(odd, plain, F.when(F.abs(value) >= 1e18, wide), spread)
-
-
-def any_value_text(value: Column, depth: int = DEPTH) -> Column:
-    """Text of an attribute value; '' when it is missing."""
-    parts = [
-        value["stringValue"],
-        value["boolValue"].cast("string"),
-        value["intValue"],
-        double_text(value["doubleValue"]),
-        F.lower(F.hex(F.unbase64(value["bytesValue"]))),
-    ]
+    return f"""CASE
+        WHEN {x} IS NULL THEN NULL WHEN isnan({x}) THEN 'NaN'
+        WHEN {x} = double('Infinity') THEN 'inf' WHEN {x} = double('-Infinity') THEN '-inf'
+        WHEN abs({x}) < 1e15D AND {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS STRING)
+        WHEN abs({x}) >= 1e7D THEN coalesce(regexp_replace(CAST(TRY_CAST(CAST({x} AS STRING)
+            AS DECIMAL(38,10)) AS STRING), '\\\\.?0+$', ''), CAST({x} AS STRING))
+        WHEN abs({x}) >= 1e-3D THEN CAST({x} AS STRING)
+        ELSE regexp_replace(CAST(TRY_CAST(CAST({x} AS STRING) AS DECIMAL(38,37)) AS STRING),
+            '0+$', '') END"""
+
+
+def _value_sql(v: str, depth: int) -> str:
+    """SQL of the text of the attribute value that the SQL ``v`` names."""
+    parts = [f"{v}.stringValue", f"CAST({v}.boolValue AS STRING)", f"{v}.intValue",
+             _double_sql(f"{v}.doubleValue"), f"lower(hex(unbase64({v}.bytesValue)))"]
     if depth > 1:
-        items = F.transform(value["arrayValue"]["values"],
-                            lambda v: any_value_text(v, depth - 1))
-        pairs = F.transform(
-            value["kvlistValue"]["values"],
-            lambda p: F.concat(p["key"], F.lit("="), any_value_text(p["value"], depth - 1)))
+        item, pair = f"i{depth}", f"p{depth}"
         parts += [
-            F.when(value["arrayValue"].isNotNull(),
-                   F.concat(F.lit("["), F.coalesce(F.array_join(items, ","), F.lit("")),
-                            F.lit("]"))),
-            F.when(value["kvlistValue"].isNotNull(),
-                   F.concat(F.lit("{"), F.coalesce(F.array_join(pairs, ","), F.lit("")),
-                            F.lit("}"))),
-        ]
-    return F.coalesce(*parts, F.lit(""))
+            f"IF({v}.arrayValue IS NULL, NULL, concat('[', coalesce(array_join(transform("
+            f"{v}.arrayValue.values, {item} -> {_value_sql(item, depth - 1)}), ','), ''), ']'))",
+            f"IF({v}.kvlistValue IS NULL, NULL, concat('{{', coalesce(array_join(transform("
+            f"{v}.kvlistValue.values, {pair} -> concat({pair}.key, '=', "
+            f"{_value_sql(pair + '.value', depth - 1)})), ','), ''), '}}'))"]
+    return f"coalesce({', '.join(parts)}, '')"
 
 
-def keys_of(pairs: Column) -> Column:
-    return F.coalesce(F.transform(pairs, lambda p: p["key"]), F.array().cast("array<string>"))
+def any_value_text(column: str) -> Column:
+    """Text of the attribute value in a named column; '' when it is missing."""
+    return F.expr(_value_sql(column, DEPTH))
 
 
-def values_of(pairs: Column) -> Column:
-    return F.coalesce(F.transform(pairs, lambda p: any_value_text(p["value"])),
-                      F.array().cast("array<string>"))
+def text_pairs(pairs: str) -> Column:
+    """Key-value pairs of a named column, values as text (``key``, ``text`` structs)."""
+    return F.expr(f"""coalesce(transform({pairs}, p -> named_struct('key', p.key, 'text',
+        {_value_sql('p.value', DEPTH)})), array())""")
 
 
-def last_value_of(pairs: Column, key: str) -> Column:
-    """Text of the last pair with ``key``; null when there is none."""
-    hits = F.filter(pairs, lambda p: p["key"] == key)
-    return any_value_text(F.get(hits, F.size(hits) - 1)["value"]) if key else F.lit(None)
+def last_text(pairs: Column, key: str) -> Column:
+    """Text of the last pair with ``key`` out of :func:`text_pairs`; null without one."""
+    return F.get(F.reverse(F.filter(pairs, lambda p: p["key"] == key)), 0)["text"]

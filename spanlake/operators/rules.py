@@ -7,14 +7,19 @@ A rule is (tenant_id, rule_id, metric_name, filter_type, filter_value, value_fie
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.attrs import attr_number, has_attr
-from ..functions.text import has_token, tokens
+from ..functions.text import SEPARATOR, has_token, words
 from ..functions.topk import top_k
 
 FILTER_TYPES = ("keyword", "severity", "service", "body_regex")
+#: Up to this many enabled rules become literal predicates evaluated in one pass over the logs.
+LITERAL_RULES = 64
+#: Up to this many distinct keywords, the words of a log are matched before they are exploded.
+KEYWORD_LIMIT = 10_000
 
 
 def rule_predicate(rule: Mapping[str, str]) -> Column:
@@ -36,48 +41,108 @@ def checked_type() -> Column:
         F.raise_error(F.concat(F.lit("unknown filter type: "), kind)))
 
 
-def _probes(body: Column) -> Column:
-    """What a log can match: its severity, its service, each token, and every regex rule."""
-    probe = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("key"))
-    fixed = F.array(probe("severity", F.col("severity_text")),
-                    probe("service", F.col("service")), probe("body_regex", F.lit("")))
-    return F.concat(fixed, F.transform(tokens(body), lambda t: probe("keyword", t)))
+def _keywords(rules: DataFrame) -> Column:
+    """Keywords of the enabled rules as one array; a scalar subquery cut at KEYWORD_LIMIT + 1."""
+    wanted = rules.where("enabled AND filter_type = 'keyword'").select("filter_value").distinct()
+    return wanted.limit(KEYWORD_LIMIT + 1).agg(
+        F.collect_set("filter_value").alias("words")).scalar()
 
 
-def apply_rules(logs: DataFrame, rules: DataFrame) -> DataFrame:
+def _probes(keywords: Column) -> Column:
+    """What a log can match: its severity, its service, its keywords, and every regex rule.
+
+    With more keywords than fit in an array, all words of the log become probes.
+    """
+    found = words(F.col("body"))
+    hits = (F.when(F.size(keywords) == 0, F.array().cast("array<string>"))
+            .when(F.size(keywords) <= KEYWORD_LIMIT, F.array_intersect(found, keywords))
+            .otherwise(F.array_distinct(found)))
+    return F.concat(F.array(F.concat(F.lit("severity:"), "severity_text"),
+                            F.concat(F.lit("service:"), "service"), F.lit("body_regex:")), hits)
+
+
+def _rule_key() -> Column:
+    """Join key of a rule.  Words hold no ':', so they cannot clash with the prefixed keys; a
+    keyword with a separator in it is no word and matches nothing."""
+    kind, value = checked_type(), F.col("filter_value")
+    return (F.when(kind == "keyword", F.when(~value.rlike(SEPARATOR), value))
+            .when(kind == "body_regex", "body_regex:")
+            .otherwise(F.concat(kind, F.lit(":"), value)))
+
+
+def apply_rules(logs: DataFrame, rules: DataFrame,
+                literal_rules: int = LITERAL_RULES) -> DataFrame:
     """One metric row per log and enabled rule that matches it.
 
-    All four filter types become a single equi join: a log is exploded into the keys it can
-    match, a rule has one key.  Regular expressions share one key per tenant and are tested
-    as a residual condition.  Rules are a small configuration table, which Spark broadcasts
-    once its size shows that; the join stays a key join beyond that size, and a hot key such as
+    Looks at no more than ``literal_rules`` + 1 rules on the driver.  If that is all of them,
+    they become literal predicates (:func:`apply_listed`); otherwise the rules are joined
+    (:func:`apply_joined`).  Both give the same rows.
+    """
+    listed = rules.where("enabled").take(literal_rules + 1)
+    if len(listed) <= literal_rules:
+        return apply_listed(logs, [r.asDict() for r in listed])
+    return apply_joined(logs, rules)
+
+
+def apply_listed(logs: DataFrame, rules: list[dict]) -> DataFrame:
+    """Rules as literal predicates: one pass, no shuffle, and the body is not carried along.
+
+    Where every rule tests severity or service, the predicates also reach the scan.
+    """
+    hits, tests = [], []
+    for rule in rules:
+        field = rule["value_field"] or ""
+        test = (F.col("tenant_id") == rule["tenant_id"]) & rule_predicate(rule)
+        if field:
+            test = test & has_attr(field)
+        tests.append(test)
+        hits.append(F.when(test, F.struct(
+            F.lit(rule["metric_name"]).alias("name"), F.lit(field).alias("field"),
+            (attr_number(field) if field else F.lit(1.0)).alias("value"))))
+    if not rules:
+        logs, hits = logs.where(F.lit(False)), [F.lit(None).cast(
+            "struct<name:string,field:string,value:double>")]
+    elif all(r["filter_type"] in ("severity", "service") for r in rules):
+        logs = logs.where(reduce(lambda a, b: a | b, tests))
+    matched = logs.select("tenant_id", "timestamp", "service", "env", "attrs_keys",
+                          "attrs_values", F.explode(F.array_compact(F.array(*hits))).alias("_m"))
+    return _metric_rows(matched.select("*", F.col("_m.name").alias("metric_name"),
+                                       F.col("_m.field").alias("value_field"),
+                                       F.col("_m.value").alias("_value")))
+
+
+def apply_joined(logs: DataFrame, rules: DataFrame) -> DataFrame:
+    """Any number of rules, by one equi join.
+
+    A log is exploded into the few keys it can match, a rule has one key.  Regular expressions
+    share one key per tenant and are tested as a residual condition.  Spark broadcasts the
+    rules where their size allows; the join stays a key join beyond that, and a hot key such as
     one severity is split by the skew handling of AQE.
     """
     keyed = rules.where("enabled").select(
-        F.col("tenant_id").alias("_tenant"), checked_type().alias("_type"), "metric_name",
-        F.when(F.col("filter_type") == "body_regex", "").otherwise(F.col("filter_value"))
-        .alias("_key"),
+        F.col("tenant_id").alias("_tenant"), "metric_name", _rule_key().alias("_key"),
         F.when(F.col("filter_type") == "body_regex", F.col("filter_value")).alias("_regex"),
         F.coalesce("value_field", F.lit("")).alias("value_field"))
     probed = logs.select("tenant_id", "timestamp", "body", "service", "env", "attrs_keys",
-                         "attrs_values", F.explode(_probes(F.col("body"))).alias("_p"))
-    on = ((F.col("tenant_id") == F.col("_tenant")) & (F.col("_p.kind") == F.col("_type"))
-          & (F.col("_p.key") == F.col("_key"))
-          & (F.col("_regex").isNull() | F.call_function("rlike", F.col("body"),
-                                                        F.col("_regex"))))
-    counts = F.col("value_field") == ""
-    empty = F.array().cast("array<string>")
-    return (
-        probed.join(keyed, on)
-        .where(counts | has_attr(F.col("value_field")))
-        .select(
-            "tenant_id", F.timestamp_millis(F.unix_millis("timestamp")).alias("timestamp"),
-            F.col("metric_name").alias("name"), F.when(counts, 1).otherwise(0).alias("type"),
-            F.when(counts, 1.0).otherwise(attr_number(F.col("value_field"))).alias("value"),
-            "service", "env",
-            F.when(counts, empty).otherwise(F.col("attrs_keys")).alias("attrs_keys"),
-            F.when(counts, empty).otherwise(F.col("attrs_values")).alias("attrs_values"))
-    )
+                         "attrs_values", F.explode(_probes(_keywords(rules))).alias("_probe"))
+    matches = F.coalesce(F.call_function("rlike", F.col("body"), F.col("_regex")), F.lit(True))
+    on = ((F.col("tenant_id") == F.col("_tenant")) & (F.col("_probe") == F.col("_key"))
+          & matches)
+    field = F.col("value_field")
+    found = probed.join(keyed, on).where((field == "") | has_attr(field))
+    return _metric_rows(found.withColumn(
+        "_value", F.when(field == "", 1.0).otherwise(attr_number(field))))
+
+
+def _metric_rows(matched: DataFrame) -> DataFrame:
+    """Counting rules give counters without attributes, value rules gauges with them."""
+    counts, empty = F.col("value_field") == "", F.array().cast("array<string>")
+    return matched.select(
+        "tenant_id", F.timestamp_millis(F.unix_millis("timestamp")).alias("timestamp"),
+        F.col("metric_name").alias("name"), F.when(counts, 1).otherwise(0).alias("type"),
+        F.col("_value").alias("value"), "service", "env",
+        F.when(counts, empty).otherwise(F.col("attrs_keys")).alias("attrs_keys"),
+        F.when(counts, empty).otherwise(F.col("attrs_values")).alias("attrs_values"))
 
 
 def list_rules(rules: DataFrame, limit: int = 1000) -> DataFrame:

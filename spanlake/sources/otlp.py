@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.anyvalue import (
-    KEY_VALUES, any_value_text, any_value_type, keys_of, last_value_of, values_of,
+    KEY_VALUES, any_value_text, any_value_type, last_text, text_pairs,
 )
 from ..functions.codes import hex_id
 
@@ -68,28 +68,29 @@ def _or_default(text: Column, default: str) -> Column:
 
 
 def _items(raw: DataFrame, schema: T.StructType, default_tenant: str,
-           tenant_attr: str) -> DataFrame:
-    """One row per innermost item ``_i`` with the resource fields beside it."""
+           tenant_attr: str, item_attrs: bool = True) -> DataFrame:
+    """One row per innermost item ``_i`` and its ``_attrs``, with the resource fields beside."""
     outer = schema.fields[0].name
     resource_type = schema.fields[0].dataType.elementType
     middle = resource_type.fields[1].name
     inner = resource_type.fields[1].dataType.elementType.fields[0].name
-    good = _parsed(raw, schema).where(F.col("_req._corrupt").isNull())
-    attrs = F.col("_r.resource.attributes")
+    good = F.when(F.col("_req._corrupt").isNull(), F.col(f"_req.{outer}"))
+    # Attribute texts are made once per resource; the optimizer keeps such a step separate.
+    attrs = F.col("_res")
     return (
-        good.select(F.explode(f"_req.{outer}").alias("_r"))
+        _parsed(raw, schema).select(F.explode(good).alias("_r"))
+        .select(text_pairs("_r.resource.attributes").alias("_res"), f"_r.{middle}")
         .select(
-            F.coalesce(last_value_of(attrs, tenant_attr), F.lit(default_tenant))
+            F.coalesce(last_text(attrs, tenant_attr), F.lit(default_tenant))
             .alias("tenant_id"),
-            _or_default(last_value_of(attrs, "service.name"), "unknown").alias("service"),
-            _or_default(last_value_of(attrs, "deployment.environment"), "production")
-            .alias("env"),
-            keys_of(attrs).alias("resource_keys"),
-            values_of(attrs).alias("resource_values"),
-            F.explode(f"_r.{middle}").alias("_s"),
+            _or_default(last_text(attrs, "service.name"), "unknown").alias("service"),
+            _or_default(last_text(attrs, "deployment.environment"), "production").alias("env"),
+            F.col("_res.key").alias("resource_keys"), F.col("_res.text").alias("resource_values"),
+            F.explode(middle).alias("_s"),
         )
         .select("tenant_id", "service", "env", "resource_keys", "resource_values",
                 F.explode(f"_s.{inner}").alias("_i"))
+        .withColumn("_attrs", text_pairs("_i.attributes") if item_attrs else F.lit(None))
     )
 
 
@@ -119,8 +120,7 @@ def flatten_traces(raw: DataFrame, default_tenant: str = "default",
         F.greatest(end - start, F.lit(0)).alias("duration_ns"),
         F.coalesce("_i.status.code", F.lit(0)).alias("status_code"),
         F.coalesce("_i.status.message", F.lit("")).alias("status_msg"),
-        keys_of(F.col("_i.attributes")).alias("attrs_keys"),
-        values_of(F.col("_i.attributes")).alias("attrs_values"),
+        F.col("_attrs.key").alias("attrs_keys"), F.col("_attrs.text").alias("attrs_values"),
         "resource_keys", "resource_values",
     )
 
@@ -134,9 +134,8 @@ def flatten_logs(raw: DataFrame, default_tenant: str = "default",
         hex_id(F.col("_i.spanId"), 16).alias("span_id"),
         F.coalesce("_i.severityNumber", F.lit(0)).alias("severity_number"),
         F.coalesce("_i.severityText", F.lit("")).alias("severity_text"),
-        "service", "env", any_value_text(F.col("_i.body")).alias("body"),
-        keys_of(F.col("_i.attributes")).alias("attrs_keys"),
-        values_of(F.col("_i.attributes")).alias("attrs_values"),
+        "service", "env", any_value_text("_i.body").alias("body"),
+        F.col("_attrs.key").alias("attrs_keys"), F.col("_attrs.text").alias("attrs_values"),
     )
 
 
@@ -156,19 +155,20 @@ def flatten_metrics(raw: DataFrame, default_tenant: str = "default",
         row = lambda p: F.struct(
             F.lit(code).alias("type"), value(p).alias("value"),
             p["timeUnixNano"].alias("nanos"),
-            keys_of(p["attributes"]).alias("attrs_keys"),
-            values_of(p["attributes"]).alias("attrs_values"))
+            p["attributes"].alias("attributes"))
         found = F.transform(F.col(f"_i.{kind}.dataPoints"), row)
         return F.coalesce(found, F.array())
 
     every = reduce(lambda a, b: F.concat(a, b), [points(*k) for k in kinds])
     millis = F.call_function("div", _nanos("_p.nanos"), F.lit(1_000_000))
     return (
-        _items(raw, METRICS, default_tenant, tenant_attr)
+        _items(raw, METRICS, default_tenant, tenant_attr, item_attrs=False)
         .select("tenant_id", F.coalesce("_i.name", F.lit("")).alias("name"), "service", "env",
                 F.explode(every).alias("_p"))
+        .withColumn("_attrs", text_pairs("_p.attributes"))
         .select("tenant_id", F.timestamp_millis(millis).alias("timestamp"), "name", "_p.type",
-                "_p.value", "service", "env", "_p.attrs_keys", "_p.attrs_values")
+                "_p.value", "service", "env", F.col("_attrs.key").alias("attrs_keys"),
+                F.col("_attrs.text").alias("attrs_values"))
     )
 
 

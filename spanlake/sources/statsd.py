@@ -42,7 +42,7 @@ def _tags(extras: Column) -> Column:
 def parse_line(line: Column) -> Column:
     """``name:value|type[@rate][|@rate][|#k:v,k]`` as a struct, null where it is not valid."""
     text = F.trim(line)
-    parts = F.transform(F.split(F.regexp_replace(text, "^[^:]*:", ""), "\\|"), F.trim)
+    parts = F.transform(F.split(F.regexp_replace(text, "^[^:]*:", ""), "\\|"), lambda p: F.trim(p))
     extras = F.slice(parts, 3, 65536)
     typed = F.split(F.get(parts, 1), "@")
     kind = F.trim(F.get(typed, 0))

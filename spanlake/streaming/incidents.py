@@ -44,8 +44,9 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         state.update((status, opened, value))
     elif state.exists:
         state.remove()
-    yield pd.DataFrame(changes, columns=["tenant_id", "monitor_id", "status", "triggered_at",
-                                         "at", "trigger_value"])
+    if changes:
+        yield pd.DataFrame(changes, columns=["tenant_id", "monitor_id", "status",
+                                             "triggered_at", "at", "trigger_value"])
 
 
 def incidents_stream(events: DataFrame) -> DataFrame:
