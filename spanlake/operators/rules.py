@@ -89,26 +89,23 @@ def apply_listed(logs: DataFrame, rules: list[dict]) -> DataFrame:
 
     Where every rule tests severity or service, the predicates also reach the scan.
     """
-    hits, tests = [], []
+    # Rules often share a filter: each distinct one is evaluated once, as a column.
+    filters = {(r["filter_type"], r["filter_value"]): rule_predicate(r) for r in rules}
+    names = {key: f"_f{i}" for i, key in enumerate(filters)}
+    hits = [F.lit(None).cast("struct<metric_name:string,value_field:string,_value:double>")]
     for rule in rules:
         field = rule["value_field"] or ""
-        test = (F.col("tenant_id") == rule["tenant_id"]) & rule_predicate(rule)
-        if field:
-            test = test & has_attr(field)
-        tests.append(test)
-        hits.append(F.when(test, F.struct(
-            F.lit(rule["metric_name"]).alias("name"), F.lit(field).alias("field"),
-            (attr_number(field) if field else F.lit(1.0)).alias("value"))))
-    if not rules:
-        logs, hits = logs.where(F.lit(False)), [F.lit(None).cast(
-            "struct<name:string,field:string,value:double>")]
-    elif all(r["filter_type"] in ("severity", "service") for r in rules):
-        logs = logs.where(reduce(lambda a, b: a | b, tests))
-    matched = logs.select("tenant_id", "timestamp", "service", "env", "attrs_keys",
-                          "attrs_values", F.explode(F.array_compact(F.array(*hits))).alias("_m"))
-    return _metric_rows(matched.select("*", F.col("_m.name").alias("metric_name"),
-                                       F.col("_m.field").alias("value_field"),
-                                       F.col("_m.value").alias("_value")))
+        test = ((F.col("tenant_id") == rule["tenant_id"])
+                & F.col(names[rule["filter_type"], rule["filter_value"]]))
+        hits.append(F.when(test & has_attr(field) if field else test, F.struct(
+            F.lit(rule["metric_name"]).alias("metric_name"), F.lit(field).alias("value_field"),
+            (attr_number(field) if field else F.lit(1.0)).alias("_value"))))
+    if all(kind in ("severity", "service") for kind, _ in filters):
+        logs = logs.where(reduce(lambda a, b: a | b, filters.values(), F.lit(False)))
+    tested = logs.withColumns({names[key]: test for key, test in filters.items()})
+    matched = tested.select("tenant_id", "timestamp", "service", "env", "attrs_keys",
+                            "attrs_values", F.explode(F.array_compact(F.array(*hits))).alias("_m"))
+    return _metric_rows(matched.select("*", "_m.*"))
 
 
 def apply_joined(logs: DataFrame, rules: DataFrame) -> DataFrame:
