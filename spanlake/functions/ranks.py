@@ -5,6 +5,9 @@ group with a third of all rows does not survive.  Here a group is first counted
 value bands (a map-side combined aggregate with few rows per group).  The running band counts
 tell which band holds a wanted rank, and only the values in those bands are counted
 individually in a second pass.  Both passes shuffle counts, never rows.
+
+The first pass runs when the function is called, as in ``DataFrame.approxQuantile``: its result
+decides how the second one joins.
 """
 
 from __future__ import annotations
@@ -13,11 +16,16 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut_lineage
+
 #: Bands per e-fold of the value.  4096 keeps a band within 0.03 % of its value: a band at
 #: one minute in nanoseconds has fewer than 15 million distinct values, whatever the rows.
 FINE = 4096
 
-#: Groups above this many rows leave the buffer-based path of :func:`minute_quantiles`.
+#: Rows of an intermediate result that may come to the driver.
+DRIVER_ROWS = 10_000
+
+#: Groups above this many rows leave the buffer-based path of :func:`exact_quantiles`.
 BUFFER_ROWS = 1_000_000
 
 
@@ -34,6 +42,19 @@ def _join_same(left: DataFrame, right: DataFrame, names: Sequence[str],
     return left.join(renamed, on, how).drop(*[f"_r_{n}" for n in names])
 
 
+def with_known_size(df: DataFrame, limit: int = DRIVER_ROWS) -> DataFrame:
+    """Run ``df`` now, so that the size of its result is known when a join with it is planned.
+
+    At most ``limit`` + 1 rows are looked at on the driver.  A result within the limit comes
+    back as those rows; a larger one is written to the shared folder and read back.  Either
+    way Spark picks the join by the actual size.
+    """
+    rows = df.limit(limit + 1).toArrow()
+    if rows.num_rows <= limit:
+        return df.sparkSession.createDataFrame(rows, df.schema)
+    return cut_lineage(df, "marks")
+
+
 def select_ranks(
     df: DataFrame,
     value: str | Column,
@@ -70,7 +91,7 @@ def select_ranks(
         .where(f"size({held}) > 0")
         .select(*keys, "_band", "_before", "_n", *sums)
     )
-    # No broadcast hint: marks hold a few rows per group, and Spark checks their size.
+    marks = with_known_size(marks)
     wanted = _join_same(base.select(*keys, "_band", "_value"), marks, [*keys, "_band"])
     counts = wanted.groupBy(*keys, "_band", "_value").agg(
         F.expr("count(1) AS _cnt"),
@@ -83,7 +104,7 @@ def select_ranks(
         .select(*keys, "_value", "_n", *sums, F.expr(f"explode({held}) AS _rank")))
 
 
-def exact_quantiles(
+def banded_quantiles(
     df: DataFrame,
     value: str | Column,
     quantiles: Mapping[str, float],
@@ -91,10 +112,7 @@ def exact_quantiles(
     sums: Mapping[str, Column] | None = None,
     count: str = "n",
 ) -> DataFrame:
-    """Linearly interpolated quantiles per group, with the row count and extra sums.
-
-    Suits few groups of any size.  Without ``keys`` it gives exactly one row.
-    """
+    """Quantiles by rank selection, for groups of any size; see :func:`exact_quantiles`."""
     keys, sums = list(keys), dict(sums or {})
     at = {name: f"({q!r}D * (_n - 1))" for name, q in quantiles.items()}
     ends = ", ".join(f"floor({p}), ceil({p})" for p in at.values())
@@ -110,37 +128,47 @@ def exact_quantiles(
     return one.selectExpr(*keys, f"coalesce(_n, 0L) AS `{count}`", *sums, *between)
 
 
-def minute_quantiles(
+def _buffered_quantiles(df: DataFrame, value: str, quantiles: Mapping[str, float],
+                        keys: Sequence[str], sums: Sequence[str], count: str) -> DataFrame:
+    """Quantiles by one aggregate that buffers each group's distinct values."""
+    points = ", ".join(f"{q!r}D" for q in quantiles.values())
+    return (
+        df.groupBy(*keys)
+        .agg(F.expr(f"count(1) AS `{count}`"), *[F.sum(n).alias(n) for n in sums],
+             F.expr(f"percentile(`{value}`, array({points})) AS _q"))
+        .selectExpr(*keys, count, *sums,
+                    *[f"_q[{i}] AS `{n}`" for i, n in enumerate(quantiles)]))
+
+
+def exact_quantiles(
     df: DataFrame,
     value: str,
     quantiles: Mapping[str, float],
-    keys: Sequence[str],
+    keys: Sequence[str] = (),
     sums: Mapping[str, Column] | None = None,
     count: str = "n",
-    buffer_rows: int = BUFFER_ROWS,
+    split: bool = False,
+    buffer_rows: int | None = None,
 ) -> DataFrame:
-    """Quantiles for very many groups that are mostly small.
+    """Linearly interpolated quantiles per group, with the row count and extra sums.
 
-    Small groups take the one-shuffle ``percentile`` aggregate.  Groups above ``buffer_rows``
-    rows, found by a count that combines map-side, take :func:`exact_quantiles`.  The list of
-    those groups holds at most rows / ``buffer_rows`` entries, hence the broadcast.
+    Without ``keys`` the result is one row, also for no input.  Rows with a null value are left
+    out.  Counts the groups first (a map-side combined aggregate over the key columns).  If
+    none is above ``buffer_rows`` rows, one aggregate with a single shuffle does the rest, and
+    no buffer holds more values than that.  Otherwise all groups take the rank selection, or,
+    with ``split``, only those above the bound: right for very many, mostly small groups.
     """
     keys, sums = list(keys), dict(sums or {})
-    # Null-valued rows belong to no group, on both paths.
+    buffer_rows = BUFFER_ROWS if buffer_rows is None else buffer_rows
     df = df.where(F.col(value).isNotNull()).select(
-        *keys, value, *[c.alias(f"_s_{n}") for n, c in sums.items()])
-    big_keys = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_g"))
-                .where(F.col("_g") > buffer_rows).select(*keys))
-    small = _join_same(df, F.broadcast(big_keys), keys, "left_anti")
-    large = _join_same(df, F.broadcast(big_keys), keys, "left_semi")
-    points = F.percentile(value, F.array(*[F.lit(q) for q in quantiles.values()]))
-    from_buffer = (
-        small.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias(count), *[F.sum(f"_s_{n}").alias(n) for n in sums],
-             points.alias("_q"))
-        .select(*keys, count, *sums,
-                *[F.col("_q")[i].alias(n) for i, n in enumerate(quantiles)])
-    )
-    from_bands = exact_quantiles(large, value, quantiles, keys,
-                                 {n: F.col(f"_s_{n}") for n in sums}, count)
-    return from_buffer.unionByName(from_bands)
+        *keys, value, *[c.alias(n) for n, c in sums.items()])
+    names = {n: F.col(n) for n in sums}
+    big = df.groupBy(*keys).agg(F.expr("count(1) AS _g")).where(F.col("_g") > buffer_rows)
+    if big.isEmpty():
+        return _buffered_quantiles(df, value, quantiles, keys, list(sums), count)
+    if not (split and keys):
+        return banded_quantiles(df, value, quantiles, keys, names, count)
+    hot = with_known_size(big.select(*keys))
+    small, large = (_join_same(df, hot, keys, how) for how in ("left_anti", "left_semi"))
+    return _buffered_quantiles(small, value, quantiles, keys, list(sums), count).unionByName(
+        banded_quantiles(large, value, quantiles, keys, names, count))

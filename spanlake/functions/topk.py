@@ -30,29 +30,31 @@ def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     return merged.orderBy(*order).limit(k)
 
 
-def time_cutoff(df: DataFrame, ts: str, k: int, newest: bool = False) -> Column:
-    """Exact time of the k-th oldest (or newest) row, as a scalar subquery.
+def time_cutoff(df: DataFrame, ts: str, k: int, newest: bool = False):
+    """Exact time (epoch µs) of the k-th oldest or newest of more than k rows.
 
-    Null when there are no rows.  Fewer than k rows lie strictly before the cut-off.
+    Runs two counts over the time column.  Fewer than k rows lie strictly before the cut-off.
     """
     sign = "-" if newest else ""
     # Linear bands of a day / TIME_BANDS: 5.3 s, so at most 5.3 million distinct values each.
     found = select_ranks(
-        df, F.expr(f"{sign}unix_micros(`{ts}`)"), f"array(least({int(k)}L, _n) - 1)",
-        band=f"floor(_value / {86_400_000_000 // TIME_BANDS})")
-    return found.agg(F.expr(f"timestamp_micros({sign}max(_value)) AS cut")).scalar()
+        df, F.expr(f"{sign}unix_micros(`{ts}`)"), f"array({int(k) - 1}L)",
+        band=f"floor(_value / {86_400_000_000 // TIME_BANDS})").first()
+    return -found._value if newest else found._value
 
 
 def first_by_time(df: DataFrame, ts: str, k: int, tie: list[str],
                   newest: bool = False) -> DataFrame:
     """The k oldest (or newest) rows by ``ts``, ties broken by the ``tie`` columns.
 
-    A small k merges in lanes.  A large k reads the time column first: rows past the exact
-    cut-off are filtered in the scan, so no more than k rows plus ties reach the sort.
+    A small k merges in lanes, lazily.  A large k first finds the exact cut-off time; rows past
+    it are filtered in the scan, so no more than k rows plus ties reach the sort.
     """
     order = [F.col(ts).desc() if newest else F.col(ts).asc(), *[F.col(c) for c in tie]]
     if k <= LANE_LIMIT:
         return top_k(df, order, k)
-    cut = time_cutoff(df, ts, k, newest)
-    near = df.where(F.col(ts) >= cut if newest else F.col(ts) <= cut)
-    return near.orderBy(*order).limit(k)
+    if df.count() > k:
+        cut = time_cutoff(df, ts, k, newest)
+        edge = F.timestamp_micros(F.lit(cut))
+        df = df.where(F.col(ts) >= edge if newest else F.col(ts) <= edge)
+    return df.orderBy(*order).limit(k)

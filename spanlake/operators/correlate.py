@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
@@ -57,22 +59,25 @@ def trace_tree(spans: DataFrame, trace_id: str | None = None) -> DataFrame:
         F.when(~top, F.col("parent_span_id")).alias("_up"),
         F.when(top, 0).otherwise(1).alias("depth"),
         F.when(top, F.col("span_id")).alias("root_span_id"))
-    tree = cut_lineage(tree, "tree")
-    open_spans = tree.where(F.col("_up").isNotNull()).count()
-    while open_spans:
-        # Only spans that others still point at are needed on the right.
-        above = tree.select("tenant_id", "trace_id", F.col("span_id").alias("_up"),
-                            F.col("_up").alias("_next"), F.col("depth").alias("_more"),
-                            F.col("root_span_id").alias("_root"))
-        moved = tree.where(F.col("_up").isNotNull()).join(
-            above, ["tenant_id", "trace_id", "_up"]).select(
+    written = cut_lineage(tree, "tree")
+    is_open = F.col("_up").isNotNull()
+    done, pending = [written.where(~is_open)], written.where(is_open)
+    left = pending.count()
+    while left:
+        # Only the unresolved spans are joined and written again.
+        above = reduce(DataFrame.unionByName, [*done, pending]).select(
+            "tenant_id", "trace_id", F.col("span_id").alias("_up"),
+            F.col("_up").alias("_next"), F.col("depth").alias("_more"),
+            F.col("root_span_id").alias("_root"))
+        moved = pending.join(above, ["tenant_id", "trace_id", "_up"]).select(
             *_ID, "parent_span_id", "name", "service", "orphan", F.col("_next").alias("_up"),
             (F.col("depth") + F.col("_more")).alias("depth"),
             F.col("_root").alias("root_span_id"))
-        tree = cut_lineage(tree.where(F.col("_up").isNull()).unionByName(moved), "tree")
-        left = tree.where(F.col("_up").isNotNull()).count()
-        if left == open_spans:
+        written = cut_lineage(moved, "tree")
+        pending = written.where(is_open)
+        done.append(written.where(~is_open))
+        before, left = left, pending.count()
+        if left == before:
             break
-        open_spans = left
-    settled = F.col("_up").isNull()
-    return tree.withColumn("depth", F.when(settled, F.col("depth"))).drop("_up")
+    cyclic = pending.withColumn("depth", F.lit(None).cast("int"))
+    return reduce(DataFrame.unionByName, [*done, cyclic]).drop("_up")

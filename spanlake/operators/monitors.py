@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.codes import LOG_ERROR_FLOOR, is_error, violated
-from ..functions.ranks import exact_quantiles
+from ..functions.ranks import exact_quantiles, with_known_size
 from ..functions.times import in_range, instant
 
 #: Seconds between two looks at the monitor list.
@@ -32,8 +32,11 @@ def due_ticks(monitors: DataFrame, start, end, poll: int = POLL_SECONDS) -> Data
     The first look is always due; after that a monitor is due at the first look at which its
     interval has passed.
     """
-    numbered = _with_schedule(monitors, start, end, poll).where(F.col("_last") >= 0)
-    return numbered.select(
+    return _ticks(_with_schedule(monitors, start, end, poll))
+
+
+def _ticks(plan: DataFrame) -> DataFrame:
+    return plan.where(F.col("_last") >= 0).select(
         "tenant_id", "monitor_id",
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("_k"),
         "_first", "_period",
@@ -70,13 +73,15 @@ def monitor_values(monitors: DataFrame, spans: DataFrame, logs: DataFrame, start
                    poll: int = POLL_SECONDS) -> DataFrame:
     """Value of every enabled monitor at every tick, also where no row matched.
 
-    Counts are first reduced to one row per service and second, so a service with a third of
+    Runs a small job over the monitors, and one per :func:`exact_quantiles`.  Counts are first reduced to one row per service and second, so a service with a third of
     all rows costs the join no more than any other; only those cells meet the monitors.  The
     p99 monitors use rank selection.  error_rate and counts are 0 without data, avg and p99
     null.  Ticks and windows are whole seconds.
     """
-    plan = _with_schedule(monitors, start, end, poll)
-    reach = plan.agg(F.max("window_secs").alias("w")).scalar()
+    # Monitors are read first: the joins are planned by their real number, and the longest
+    # window bounds the scan with plain literals.
+    plan = with_known_size(_with_schedule(monitors, start, end, poll))
+    reach = plan.agg(F.max("window_secs")).first()[0] or 0
     earliest = F.timestamp_seconds(F.unix_seconds(instant(start)) - reach)
     seen = in_range(spans, "start_time", earliest, end)
     cells = (
@@ -97,7 +102,7 @@ def monitor_values(monitors: DataFrame, spans: DataFrame, logs: DataFrame, start
     timed = seen.select("tenant_id", "service", F.unix_seconds("start_time").alias("_sec"),
                         "duration_ns")
     tails = exact_quantiles(_windows_of(timed, plan.where(~is_log & is_p99)), "duration_ns",
-                            {"_p99": 0.99}, _TICK).drop("n")
+                            {"_p99": 0.99}, _TICK, split=True).drop("n")
     n = F.coalesce("_n", F.lit(0))
     value = (
         F.when(is_log, F.coalesce("_logs", F.lit(0)).cast("double"))
@@ -107,8 +112,9 @@ def monitor_values(monitors: DataFrame, spans: DataFrame, logs: DataFrame, start
         .when(F.col("aggregation") == "avg", F.try_divide(F.col("_ns"), n) / 1e6)
         .otherwise(n.cast("double")))
     return (
-        due_ticks(monitors, start, end, poll)
-        .join(monitors, ["tenant_id", "monitor_id"])
+        _ticks(plan)
+        .join(plan.select("tenant_id", "monitor_id", "kind", "aggregation", "op", "threshold"),
+              ["tenant_id", "monitor_id"])
         .join(sums, _TICK, "left").join(log_sums, _TICK, "left").join(tails, _TICK, "left")
         .select(*_TICK, "op", "threshold", value.alias("value")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.codes import is_error
-from ..functions.ranks import minute_quantiles
+from ..functions.ranks import exact_quantiles
 from ..functions.times import bucket_start
 from .xview import QUANTILES
 
@@ -19,7 +19,7 @@ def span_stats(spans: DataFrame, width: str = "1 minute") -> DataFrame:
     rows = spans.select("tenant_id", "service", "env", "duration_ns",
                         bucket_start(F.col("start_time"), width).alias("minute"),
                         F.when(is_error(), 1).otherwise(0).alias("_error"))
-    stats = minute_quantiles(rows, "duration_ns", QUANTILES, KEYS, count="requests", sums={
+    stats = exact_quantiles(rows, "duration_ns", QUANTILES, KEYS, split=True, count="requests", sums={
         "errors": F.col("_error"), "_total": F.col("duration_ns").cast("double")})
     return stats.select(*KEYS, "requests", "errors", *QUANTILES,
                         (F.col("_total") / F.col("requests")).alias("avg_ns"))

@@ -19,6 +19,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join partition even where that costs one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Stream state lives on disk beside the executor, not in its heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Top-k per lane may be pruned before the shuffle up to this many rows.
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }

@@ -24,21 +24,18 @@ def with_date(df: DataFrame, ts: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, table: str, mode: str = "append",
-                files_per_day: int = 32, bloom: str | None = None) -> None:
+                bloom: str | None = None) -> None:
     """Write a table by tenant and day, sorted inside each file.
 
-    Rows of one tenant and day are spread by a time slot over ``files_per_day`` tasks, so a
-    tenant with most of the rows does not end up in a single task.  The sort gives row groups
-    tight min/max bounds; ``bloom`` names a column for a Parquet bloom filter (point lookups).
+    The rebalance hint lets AQE split a tenant-day that is too big for one task and merge the
+    small ones, so files come out evenly sized even if one tenant has most of the rows.  The
+    sort gives row groups tight min/max bounds; ``bloom`` names a column for a Parquet bloom
+    filter (point lookups).
     """
     ts, order = LAYOUT[table]
-    day = with_date(df, ts)
-    slot = F.pmod(F.xxhash64(F.col(order[0]), F.unix_micros(F.col(ts))), F.lit(files_per_day))
     writer = (
-        day.withColumn("_slot", slot)
-        .repartition("tenant_id", "date", "_slot")
+        with_date(df, ts).hint("rebalance", "tenant_id", "date")
         .sortWithinPartitions("tenant_id", "date", *order)
-        .drop("_slot")
         .write.mode(mode)
         .partitionBy("tenant_id", "date")
     )

@@ -38,43 +38,52 @@ def by_key(rows):
     return groups
 
 
-def test_grouped_quantiles(spark, skewed):
+PATHS = [(1_000_000, False), (500, False), (500, True), (1, True), (0, False)]
+
+
+@pytest.mark.parametrize("bound, split", PATHS)
+def test_grouped_quantiles(spark, skewed, bound, split):
     df = spark.createDataFrame(skewed, "k string, v long, e int")
-    found = ranks.exact_quantiles(df, "v", QS, ["k"], {"e": F.col("e")}).collect()
+    found = ranks.exact_quantiles(df, "v", QS, ["k"], {"e": F.col("e")}, split=split,
+                                  buffer_rows=bound).collect()
     groups = by_key(skewed)
-    assert {r.k for r in found} == set(groups)
+    assert sorted(r.k for r in found) == sorted(groups)
     for row in found:
         assert row.n == len(groups[row.k])
         assert close([row.p50, row.p95, row.p99], expected(groups[row.k]))
         assert row.e == sum(e for k, _, e in skewed if k == row.k)
 
 
-def test_global_quantiles_and_empty(spark, skewed):
+@pytest.mark.parametrize("bound", [1_000_000, 10])
+def test_global_quantiles_and_empty(spark, skewed, bound):
     df = spark.createDataFrame(skewed, "k string, v long, e int")
-    row = ranks.exact_quantiles(df, "v", QS).first()
+    row = ranks.exact_quantiles(df, "v", QS, buffer_rows=bound).first()
     assert close([row.p50, row.p95, row.p99], expected([v for _, v, _ in skewed]))
-    none = ranks.exact_quantiles(df.where("v < 0"), "v", QS).collect()
-    assert len(none) == 1 and none[0].n == 0 and none[0].p50 is None
+    for quantiles in (ranks.exact_quantiles, ranks.banded_quantiles):
+        none = quantiles(df.where("v < 0"), "v", QS).collect()
+        assert len(none) == 1 and none[0].n == 0 and none[0].p50 is None
 
 
-def test_negative_values_and_null_keys(spark):
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_negative_values_and_null_keys(spark, bound):
     data = [(None, v) for v in (-8, -3, 0, 4, 90)] + [("a", None), ("a", 7)]
     df = spark.createDataFrame(data, "k string, v long")
-    found = {r.k: r for r in ranks.exact_quantiles(df, "v", QS, ["k"]).collect()}
+    rows = ranks.exact_quantiles(df, "v", QS, ["k"], split=True, buffer_rows=bound).collect()
+    found = {r.k: r for r in rows}
     assert close([found[None].p50, found[None].p95], expected([-8, -3, 0, 4, 90])[:2])
     assert found["a"].n == 1 and found["a"].p99 == 7.0
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 500, 1])
-def test_both_paths_of_minute_quantiles(spark, skewed, limit):
+def test_marks_too_many_for_the_driver_are_written(spark, skewed, monkeypatch):
     df = spark.createDataFrame(skewed, "k string, v long, e int")
-    found = ranks.minute_quantiles(df, "v", QS, ["k"], {"e": F.col("e")}, buffer_rows=limit)
+    asked = []
+    real = ranks.with_known_size
+    monkeypatch.setattr(ranks, "with_known_size",
+                        lambda d: asked.append(1) or real(d, limit=5))
+    rows = ranks.banded_quantiles(df, "v", QS, ["k"]).collect()
     groups = by_key(skewed)
-    rows = found.collect()
-    assert sorted(r.k for r in rows) == sorted(groups)
-    for row in rows:
-        assert row.n == len(groups[row.k])
-        assert close([row.p50, row.p95, row.p99], expected(groups[row.k]))
+    assert asked and len(rows) == len(groups)
+    assert all(close([r.p50, r.p95, r.p99], expected(groups[r.k])) for r in rows)
 
 
 @pytest.fixture(scope="module")
