@@ -104,6 +104,17 @@ def select_ranks(
         .select(*keys, "_value", "_n", *sums, F.expr(f"explode({held}) AS _rank")))
 
 
+def _position(q: float) -> str:
+    """SQL of the fractional rank of a quantile among ``_n`` values."""
+    return f"({q!r}D * (_n - 1))"
+
+
+def _between(low: str, high: str, at: str, name: str) -> str:
+    """SQL of the linear interpolation between two neighbours; the same on both paths."""
+    return (f"CAST({low} AS DOUBLE) + (CAST({high} AS DOUBLE) - CAST({low} AS DOUBLE)) * "
+            f"({at} - floor({at})) AS `{name}`")
+
+
 def banded_quantiles(
     df: DataFrame,
     value: str | Column,
@@ -114,7 +125,7 @@ def banded_quantiles(
 ) -> DataFrame:
     """Quantiles by rank selection, for groups of any size; see :func:`exact_quantiles`."""
     keys, sums = list(keys), dict(sums or {})
-    at = {name: f"({q!r}D * (_n - 1))" for name, q in quantiles.items()}
+    at = {name: _position(q) for name, q in quantiles.items()}
     ends = ", ".join(f"floor({p}), ceil({p})" for p in at.values())
     found = select_ranks(df, value, f"array({ends})", keys, sums)
     picks = [
@@ -122,22 +133,22 @@ def banded_quantiles(
         for name, p in at.items() for end in ("floor", "ceil")]
     one = found.groupBy(*keys).agg(
         F.expr("max(_n) AS _n"), *[F.expr(f"max(`{n}`) AS `{n}`") for n in sums], *picks)
-    between = [
-        f"CAST(`_floor_{n}` AS DOUBLE) + (CAST(`_ceil_{n}` AS DOUBLE) - "
-        f"CAST(`_floor_{n}` AS DOUBLE)) * ({p} - floor({p})) AS `{n}`" for n, p in at.items()]
+    between = [_between(f"`_floor_{n}`", f"`_ceil_{n}`", p, n) for n, p in at.items()]
     return one.selectExpr(*keys, f"coalesce(_n, 0L) AS `{count}`", *sums, *between)
 
 
 def _buffered_quantiles(df: DataFrame, value: str, quantiles: Mapping[str, float],
                         keys: Sequence[str], sums: Sequence[str], count: str) -> DataFrame:
-    """Quantiles by one aggregate that buffers each group's distinct values."""
-    points = ", ".join(f"{q!r}D" for q in quantiles.values())
-    return (
-        df.groupBy(*keys)
-        .agg(F.expr(f"count(1) AS `{count}`"), *[F.sum(n).alias(n) for n in sums],
-             F.expr(f"percentile(`{value}`, array({points})) AS _q"))
-        .selectExpr(*keys, count, *sums,
-                    *[f"_q[{i}] AS `{n}`" for i, n in enumerate(quantiles)]))
+    """Quantiles by one aggregate that sorts each group's values in a bounded buffer."""
+    held = df.groupBy(*keys).agg(
+        F.expr("count(1) AS _n"), *[F.sum(n).alias(n) for n in sums],
+        F.expr(f"sort_array(collect_list(`{value}`)) AS _values"))
+    columns = []
+    for name, q in quantiles.items():
+        at = _position(q)
+        low, high = (f"get(_values, CAST({end}({at}) AS INT))" for end in ("floor", "ceil"))
+        columns.append(_between(low, high, at, name))
+    return held.selectExpr(*keys, f"_n AS `{count}`", *sums, *columns)
 
 
 def exact_quantiles(
