@@ -7,8 +7,6 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-Instant = "Column | datetime | int | str"
-
 
 def instant(value) -> Column:
     """A timestamp from a Column, a datetime (naive means UTC), epoch ms or ISO text."""
@@ -69,6 +67,15 @@ def seconds_before(as_of, seconds: int) -> Column:
     return instant(as_of) - F.make_dt_interval(secs=F.lit(int(seconds)))
 
 
+#: Minutes looked back where the caller names no range: patterns an hour, findings half of it.
+DEFAULT_MINUTES = {"patterns": 60, "findings": 30}
+
+
+def recent(as_of, minutes: int) -> tuple[Column, Column]:
+    """(start, end) of the last ``minutes`` before ``as_of``."""
+    return seconds_before(as_of, minutes * 60), instant(as_of)
+
+
 def auto_step(start_ms: int, end_ms: int) -> int:
     """Step in whole seconds that gives about 120 points, 15 s at the least."""
     return max(15, round((end_ms - start_ms) / 120 / 1000))

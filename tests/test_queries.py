@@ -14,7 +14,11 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(entry_module.queries()))
 def test_query_matches_sql(spark, duck, name):
-    ours = entry_module.queries()[name](spark, SF_DIR).toPandas()
+    frame = entry_module.queries()[name](spark, SF_DIR)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "MapInPandas"):
+        assert unwanted not in plan
+    ours = frame.toPandas()
     sql = entry_module.oracle_sql().get(name)
     assert sql, f"{name} has no SQL"
     assert differences(ours, duck.execute(sql).df()) is None

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from spanlake.functions import codes
+from spanlake.functions import codes, times
 from spanlake.functions.anyvalue import any_value_text, any_value_type
 from spanlake.session import run_dir
 from spanlake.sources import otlp, profiles as PR, statsd, tables
@@ -270,3 +270,16 @@ def natural_ids(spark, sf):
         F.lit("default"), F.col("event_type"), F.col("event_id")).alias("id"))
 
 
+@query("time_functions", """SELECT event_id, epoch_us(date_trunc('minute', ts)) // 1000000 AS minute_s,
+    epoch_us(ts) // 1000 AS ms, CAST(strftime(ts, '%Y%m%d') AS int) AS day,
+    CAST(floor(epoch_us(ts) / 900000000) * 900000 AS bigint) AS quarter_ms,
+    ts >= TIMESTAMP '2024-01-30 23:00:00' AND ts < TIMESTAMP '2024-01-31 00:00:00' AS last_hour
+  FROM events""")
+def time_functions(spark, sf):
+    since, until = times.recent(V.END, times.DEFAULT_MINUTES["patterns"])
+    ts = F.col("ts")
+    return V.table(spark, sf, "events").select(
+        "event_id", F.unix_seconds(times.bucket_start(ts)).alias("minute_s"),
+        F.unix_millis(ts).alias("ms"), F.date_format(ts, "yyyyMMdd").cast("int").alias("day"),
+        times.bucket_ms(ts, 900).alias("quarter_ms"),
+        ((ts >= since) & (ts < until)).alias("last_hour"))
