@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -15,38 +15,43 @@ _CHANGES = ("tenant_id string, monitor_id string, status string, triggered_at ti
             "at timestamp, trigger_value double")
 
 
-def _next_status(status: str, kind: str) -> str:
-    """Status after an event; '' means that no incident is open."""
-    moves = {
-        ("", "violation"): "triggered",
-        ("triggered", "normal"): "resolved",
-        ("triggered", "acknowledge"): "acknowledged",
-        ("triggered", "resolve"): "resolved",
-        ("acknowledged", "resolve"): "resolved",
-    }
-    return moves.get((status, kind), status)
-
-
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold one monitor's new events, in time order, into its open incident."""
-    status, opened, value = state.get if state.exists else ("", None, None)
-    changes = []
-    events = pd.concat(list(batches)).sort_values(["at", "step"], kind="stable")
-    for event in events.itertuples(index=False):
-        after = _next_status(status, event.kind)
-        if after == status:
-            continue
-        if status == "":
-            opened, value = event.at, event.value
-        changes.append((*key, after, opened, event.at, value))
-        status = "" if after == "resolved" else after
-    if status:
-        state.update((status, opened, value))
-    elif state.exists:
-        state.remove()
-    if changes:
-        yield pd.DataFrame(changes, columns=["tenant_id", "monitor_id", "status",
-                                             "triggered_at", "at", "trigger_value"])
+#: (open status, event) → next status; '' means that no incident is open.
+MOVES = {
+    ("", "violation"): "triggered",
+    ("triggered", "normal"): "resolved",
+    ("triggered", "acknowledge"): "acknowledged",
+    ("triggered", "resolve"): "resolved",
+    ("acknowledged", "resolve"): "resolved",
+}
+
+
+def _folding() -> Callable:
+    """The state function.  A nested one travels to the workers by value, so they need not have
+    this package installed."""
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame],
+             state: GroupState) -> Iterator[pd.DataFrame]:
+        """Fold one monitor's new events, in time order, into its open incident."""
+        status, opened, value = state.get if state.exists else ("", None, None)
+        changes = []
+        events = pd.concat(list(batches)).sort_values(["at", "step"], kind="stable")
+        for event in events.itertuples(index=False):
+            after = MOVES.get((status, event.kind), status)
+            if after == status:
+                continue
+            if status == "":
+                opened, value = event.at, event.value
+            changes.append((*key, after, opened, event.at, value))
+            status = "" if after == "resolved" else after
+        if status:
+            state.update((status, opened, value))
+        elif state.exists:
+            state.remove()
+        if changes:
+            yield pd.DataFrame(changes, columns=["tenant_id", "monitor_id", "status",
+                                                 "triggered_at", "at", "trigger_value"])
+
+    return fold
 
 
 def incidents_stream(events: DataFrame) -> DataFrame:
@@ -57,7 +62,7 @@ def incidents_stream(events: DataFrame) -> DataFrame:
     a micro-batch, paced by its interval.
     """
     changes = events.groupBy(*KEY).applyInPandasWithState(
-        _fold, _CHANGES, _STATE, "append", GroupStateTimeout.NoTimeout)
+        _folding(), _CHANGES, _STATE, "append", GroupStateTimeout.NoTimeout)
     return changes.withColumn("incident_id", incident_id(F.col("triggered_at")))
 
 
