@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanlake.session import configure
 
-from . import mixing
+from . import mixing, tokenfiles
 from .registry import query
 
 
@@ -18,3 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op6_mix_sources", mixing.MIX_SQL)
 def op6_mix_sources(spark, sf):
     return mixing.mix_table(table(spark, sf, "documents"))
+
+
+@query("op3_token_files")
+def op3_token_files(spark, sf):
+    import public_tokenizers
+
+    return tokenfiles.token_file_index(table(spark, sf, "documents"),
+                                       public_tokenizers.path("word_bpe_49k.json"))
