@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanlake.session import configure
 
-from . import mixing, tokenfiles
+from . import language, mixing, tokenfiles
 from .registry import query
 
 
@@ -26,3 +26,8 @@ def op3_token_files(spark, sf):
 
     return tokenfiles.token_file_index(table(spark, sf, "documents"),
                                        public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op5_language_mixture")
+def op5_language_mixture(spark, sf):
+    return language.language_table(table(spark, sf, "documents"))
