@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanlake.session import configure
 
-from . import language, mixing, tokenfiles
+from . import language, mixing, quality, tokenfiles
 from .registry import query
 
 
@@ -31,3 +31,8 @@ def op3_token_files(spark, sf):
 @query("op5_language_mixture")
 def op5_language_mixture(spark, sf):
     return language.language_table(table(spark, sf, "documents"))
+
+
+@query("op4_quality_pairs")
+def op4_quality_pairs(spark, sf):
+    return quality.quality_table(table(spark, sf, "documents"), table(spark, sf, "labels"))
