@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanlake.session import configure
 
-from . import language, mixing, quality, tokenfiles
+from . import language, mixing, quality, repeats, tokenfiles
 from .registry import query
 
 
@@ -36,3 +36,8 @@ def op5_language_mixture(spark, sf):
 @query("op4_quality_pairs")
 def op4_quality_pairs(spark, sf):
     return quality.quality_table(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op9_repeated_strings")
+def op9_repeated_strings(spark, sf):
+    return repeats.repeats_table(table(spark, sf, "documents"))
