@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanlake.session import configure
 
-from . import language, mixing, quality, repeats, tokenfiles
+from . import language, mixing, neardup, quality, repeats, tokenfiles
 from .registry import query
 
 
@@ -41,3 +41,32 @@ def op4_quality_pairs(spark, sf):
 @query("op9_repeated_strings")
 def op9_repeated_strings(spark, sf):
     return repeats.repeats_table(table(spark, sf, "documents"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words),
+sized AS (SELECT doc_id, s, CAST(len(s) AS BIGINT) AS n FROM sets),
+items AS (SELECT doc_id, n, unnest(s) AS item FROM sized),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS inter
+  FROM items a JOIN items b ON a.item = b.item AND a.doc_id < b.doc_id
+    AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 100 * inter >= 80 * (na + nb - inter)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS node, doc_id AS root FROM sized
+  UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node WHERE r.root < e.b),
+least_root AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT doc_id, n AS n_shingles, root AS component_id, doc_id = root AS kept
+FROM sized JOIN least_root ON node = doc_id
+"""
+
+
+@query("op8_near_duplicates", OP8_SQL)
+def op8_near_duplicates(spark, sf):
+    return neardup.near_duplicates(table(spark, sf, "documents"), n=2)
