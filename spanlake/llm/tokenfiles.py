@@ -9,6 +9,8 @@ writer commits each file whole, so a lost executor costs only its own tasks.
 from __future__ import annotations
 
 import os
+import string
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -19,11 +21,14 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from spanlake.session import run_dir
 
 from . import huffman
-from .bytetext import worker_cache
+from .bytetext import CHUNK_BYTES, chunks, column_bytes, worker_cache
 
 END_ID = 2
-#: Words kept per Python worker with their ids; longer words are encoded each time.
-CACHED_WORDS, CACHED_CHARS = 300_000, 40
+#: Pieces kept per Python worker with their ids, in each of two generations; longer ones are not kept.
+CACHED_PIECES, CACHED_CHARS = 200_000, 40
+#: Pieces of letters that one call of the tokenizer gets.
+LINE = 256
+_MARKS = string.punctuation
 ROWS_AT_ONCE, CHARS_AT_ONCE = 1000, 2_000_000
 BLOCK_BYTES = 1 << 20
 DOCS_PER_PART = 20_000
@@ -35,26 +40,68 @@ def _tokenizer(path: str):
     if getattr(cache, "path", None) != path:
         from tokenizers import Tokenizer
 
-        cache.path, cache.words = path, {}
+        cache.path, cache.young, cache.old = path, {}, {}
         cache.tokenizer = Tokenizer.from_file(path)
     return cache.tokenizer, cache
 
 
-def _word_ids(path: str, words: set[str]) -> dict[str, bytes]:
-    """Ids (little-endian 32-bit) of the words, from this worker's cache or the tokenizer."""
+def _encode_pieces(tokenizer, pieces: list[str], found: dict[str, bytes]) -> None:
+    """Ids (little-endian 32-bit) of the pieces, by the tokenizer.
+
+    A piece of letters is one word to the tokenizer, so many go in one line and its word numbers
+    tell them apart; any other piece goes alone.
+    """
+    words = [p for p in pieces if p.isalpha()]
+    for low in range(0, len(words), 100 * LINE):
+        some = words[low:low + 100 * LINE]
+        lines = [some[k:k + LINE] for k in range(0, len(some), LINE)]
+        coded = tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False)
+        for line, got in zip(lines, coded):
+            raw = np.array(got.ids, "<u4").tobytes()
+            at = np.searchsorted(np.array(got.word_ids), np.arange(len(line) + 1)) * 4
+            for k, (x, y) in enumerate(zip(at.tolist(), at[1:].tolist())):
+                found[line[k]] = raw[x:y]
+    rest = [p for p in pieces if not p.isalpha()]
+    for low in range(0, len(rest), 20_000):
+        some = rest[low:low + 20_000]
+        for piece, got in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+            found[piece] = np.array(got.ids, "<u4").tobytes()
+
+
+def _piece_ids(path: str, pieces: set[str]) -> dict[str, bytes]:
+    """A dictionary with the ids of at least the pieces, from this worker's cache or the tokenizer."""
     tokenizer, cache = _tokenizer(path)
-    known = cache.words
-    if len(known) > CACHED_WORDS:
-        known = cache.words = {}
-    fresh = [w for w in words if w not in known]
-    found = {}
-    for low in range(0, len(fresh), 20_000):
-        part = fresh[low:low + 20_000]
-        for word, got in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-            (known if len(word) <= CACHED_CHARS else found)[word] = np.array(got.ids, "<u4").tobytes()
-    if found:
-        return {w: found[w] if w in found else known[w] for w in words}
-    return known
+    if len(cache.young) > CACHED_PIECES:
+        cache.young, cache.old = {}, cache.young
+    young, old = cache.young, cache.old
+    ended, fresh = [], set()
+    for piece in pieces.difference(young):
+        ids = old.get(piece)
+        if ids is not None:
+            young[piece] = ids
+            continue
+        letters = piece.rstrip(_MARKS)
+        if len(letters) == len(piece) or not letters.isalpha():
+            fresh.add(piece)
+            continue
+        ended.append((piece, letters, piece[len(letters):]))  # two words to the tokenizer
+        for part in ended[-1][1:]:
+            if part not in young:
+                if part in old:
+                    young[part] = old[part]
+                else:
+                    fresh.add(part)
+    long = [p for p in fresh if len(p) > CACHED_CHARS]
+    _encode_pieces(tokenizer, list(fresh), young)
+    for piece, letters, marks in ended:
+        young[piece] = young[letters] + young[marks]
+    long += [p for p, _, _ in ended if len(p) > CACHED_CHARS]
+    if long:
+        found = dict(young)
+        for piece in long:
+            young.pop(piece, None)
+        return found
+    return young
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
@@ -73,46 +120,78 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
                     begin, chars = k + 1, 0
 
 
+def _id_runs(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Document ids, ids and offsets of runs of stored documents."""
+    size = np.dtype(kind).itemsize
+    for batch in batches:
+        for low, high, data, at in chunks(batch.column(1), 4 * CHUNK_BYTES):
+            yield batch.column(0).slice(low, high - low).to_pylist(), np.frombuffer(data.tobytes(), kind), at // size
+
+
 def _split(text: str) -> list[str]:
+    """Pieces between spaces, in lower case where that is what the vocabulary's own folding does."""
+    if text.isascii() or not ("\u03a3" in text or "\u0130" in text) and unicodedata.is_normalized("NFC", text):
+        text = text.lower()
     return text.replace("\n", " ").split(" ")
 
 
 def encode_texts(path: str, texts: list[str]) -> list[bytes]:
     """Ids of each text.
 
-    The vocabulary cuts every text at white space before anything else and drops the white space,
-    so a text's ids are those of its pieces between spaces; each piece meets the tokenizer once
-    per worker.  A tokenizer without that property must not be used here.
+    The vocabulary folds case and cuts every text at white space before anything else and drops
+    the white space, so a text's ids are those of its pieces between spaces; each piece meets the
+    tokenizer once while a worker keeps it.  A tokenizer without that property is refused.
     """
     pieces = [_split(t) for t in texts]
-    ids = _word_ids(path, set().union(*pieces))
+    ids = _piece_ids(path, set().union(*pieces))
     return [b"".join([ids[w] for w in words]) for words in pieces]
 
 
 def _check_tokenizer(path: str) -> int:
     """Number of ids; refuses a vocabulary whose ids depend on white space."""
     tokenizer, _ = _tokenizer(path)
-    both = tokenizer.encode("a b.\n c", add_special_tokens=False).ids
-    apart = [i for w in ("a", "b.", "c") for i in tokenizer.encode(w, add_special_tokens=False).ids]
+    both = tokenizer.encode("Aa b.\n c", add_special_tokens=False).ids
+    apart = [i for w in ("aa", "b", ".", "c") for i in tokenizer.encode(w, add_special_tokens=False).ids]
     if both != apart:
         raise ValueError("this tokenizer keeps white space; its texts cannot be encoded by pieces")
     return tokenizer.get_vocab_size()
 
 
-def count_ids(docs: DataFrame, path: str, n_ids: int, end_id: int | None) -> np.ndarray:
+def encode_documents(docs: DataFrame, path: str, n_ids: int, end_id: int | None) -> DataFrame:
+    """``doc_id, ids`` of every document, ids as little-endian numbers of 16 or 32 bits."""
+    kind = _id_type(n_ids)
+    tail = b"" if end_id is None else np.array([end_id], kind).tobytes()
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_ids, texts in _groups(batches):
+            coded = encode_texts(path, texts)
+            size = np.dtype(kind).itemsize
+            raw = np.frombuffer(b"".join(coded), "<u4").astype(kind).tobytes()
+            at = np.cumsum([0, *[len(c) // 4 * size for c in coded]]).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc_ids, pa.int64()),
+                 pa.array([raw[x:y] + tail for x, y in zip(at, at[1:])], pa.binary())], ["doc_id", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids binary")
+
+
+def _id_type(n_ids: int) -> str:
+    return "<u2" if n_ids <= 1 << 16 else "<u4"
+
+
+def count_ids(encoded: DataFrame, n_ids: int) -> np.ndarray:
     """Occurrences of each id over all documents: at most ``n_ids`` sums reach the driver."""
+    kind = _id_type(n_ids)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_ids, np.int64)
-        for _, texts in _groups(batches):
-            ids = np.frombuffer(b"".join(encode_texts(path, texts)), "<u4")
-            total += np.bincount(ids, minlength=n_ids)
-            if end_id is not None:
-                total[end_id] += len(texts)
+        for batch in batches:
+            data, _ = column_bytes(batch.column(0))
+            total += np.bincount(np.frombuffer(data.tobytes(), kind), minlength=n_ids)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["id", "n"])
 
-    sums = (docs.select("doc_id", "text").mapInArrow(count, "id long, n long")
+    sums = (encoded.select("ids").mapInArrow(count, "id long, n long")
             .groupBy("id").agg(F.sum("n").alias("n")).collect())
     counts = np.zeros(n_ids, np.int64)
     for row in sums:
@@ -135,28 +214,31 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
                       max_bits: int = huffman.MAX_BITS) -> None:
     """Encode the whole text of every document and write the dataset to ``folder``.
 
-    Two passes over the texts: global counts of ids for the code, then the coded documents, of
-    which only the bits are shuffled into parts by ranges of doc_id and sorted.  Null text is
+    The ids are stored once in the shared folder, then read twice: for the global counts that give
+    the code, and for the coded documents, of which only the bits are shuffled into parts by ranges
+    of doc_id and sorted.  Null text is
     empty, so it has the end id alone; null ids come first; repeated ids stand in order of their
     length and bits, so reruns agree.  An empty table gives an empty dataset.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
     n_ids = _check_tokenizer(tokenizer_path)
-    counts = count_ids(rows, tokenizer_path, n_ids, end_id)
+    kind, stored = _id_type(n_ids), run_dir(spark, "token-ids")
+    encoded = encode_documents(rows, tokenizer_path, n_ids, end_id)
+    encoded.write.option("compression", "zstd").parquet(stored)
+    encoded = spark.read.schema(encoded.schema).parquet(stored)
+    counts = count_ids(encoded, n_ids)
     lengths = huffman.code_lengths(counts, max_bits)
     used = np.flatnonzero(lengths)
     book = [(int(i), int(counts[i]), int(lengths[i])) for i in used]
     spark.createDataFrame(book, "id int, count long, bits int").coalesce(1).write.parquet(f"{folder}/codebook")
     codes = huffman.canonical_codes(lengths)
     bounds = np.array(_part_bounds(rows), np.int64)
-    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_ids, texts in _groups(batches):
-            coded = [ids + tail for ids in encode_texts(tokenizer_path, texts)]
-            n = np.array([len(c) // 4 for c in coded], np.int64)
-            data, at, marks = huffman.pack(np.frombuffer(b"".join(coded), "<u4"), n, lengths, codes)
+        for doc_ids, ids, at in _id_runs(batches, kind):
+            n = np.diff(at)
+            data, at, marks = huffman.pack(ids, n, lengths, codes)
             mark_at = np.r_[0, np.cumsum((n + huffman.INTERVAL - 1) // huffman.INTERVAL)]
             part = np.searchsorted(bounds, [-(1 << 62) if d is None else d for d in doc_ids], "right")
             raw, raw_marks = data.tobytes(), marks.astype("<u4").tobytes()
@@ -190,7 +272,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         if held:
             yield made()
 
-    (rows.mapInArrow(encode, "part int, doc_id long, n long, bits binary, marks binary")
+    (encoded.mapInArrow(encode, "part int, doc_id long, n long, bits binary, marks binary")
      .repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id", "n", "bits")
      .mapInArrow(blocks, "part int, block int, n_docs long, n_ids long, data binary")
      .write.option("compression", "none").parquet(f"{folder}/blocks"))
