@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanlake.session import configure
 
-from . import language, mixing, neardup, quality, repeats, tokenfiles
+from . import decontaminate, language, mixing, neardup, quality, repeats, tokenfiles
 from .registry import query
 
 
@@ -70,3 +70,8 @@ FROM sized JOIN least_root ON node = doc_id
 @query("op8_near_duplicates", OP8_SQL)
 def op8_near_duplicates(spark, sf):
     return neardup.near_duplicates(table(spark, sf, "documents"), n=2)
+
+
+@query("op10_benchmark_matches")
+def op10_benchmark_matches(spark, sf):
+    return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
