@@ -188,6 +188,23 @@ def _find(index: ItemIndex, quick: np.ndarray, ids: list, texts: list[str]) -> l
 _MATCH = "doc_id long, item_id long, edits int, end long"
 
 
+def _runs(texts: list) -> Iterator[tuple[int, int]]:
+    """First and end row of runs of texts of about CHARS_AT_ONCE characters."""
+    low, size = 0, 0
+    for k, text in enumerate(texts):
+        size += len(text or "")
+        if size >= CHARS_AT_ONCE or k == len(texts) - 1:
+            yield low, k + 1
+            low, size = k + 1, 0
+
+
+def _prepared(items: list[tuple]) -> tuple[ItemIndex, np.ndarray]:
+    index = ItemIndex.of(items)
+    quick = np.zeros(1 << _FILTER_BITS, bool)
+    quick[(index.hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+    return index, quick
+
+
 def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple]]:
     """Items in runs of at most ``most`` characters (or one item), one run at a time on the driver."""
     held, size = [], 0
@@ -218,18 +235,11 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, block_chars: int = BLOC
         sent = spark.sparkContext.broadcast(block)  # at most block_chars characters
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex.of(sent.value)
-            quick = np.zeros(1 << _FILTER_BITS, bool)
-            quick[(index.hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+            index, quick = _prepared(sent.value)
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                low, size = 0, 0
-                for k, text in enumerate(texts):
-                    size += len(text or "")
-                    if size < CHARS_AT_ONCE and k < len(texts) - 1:
-                        continue
-                    got = _find(index, quick, ids[low:k + 1], texts[low:k + 1])
-                    low, size = k + 1, 0
+                for low, high in _runs(texts):
+                    got = _find(index, quick, ids[low:high], texts[low:high])
                     if got:
                         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), kinds)],
@@ -243,3 +253,22 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows of ``benchmark_matches``, one per document and item."""
     return benchmark_matches(docs, items).groupBy("doc_id", "item_id").agg(
         F.min("edits").alias("edits"), F.count("*").alias("n_rows"))
+
+
+def without_matches(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` that hold no item; all columns stay as they are."""
+    for block in _blocks(items, block_chars):
+        sent = docs.sparkSession.sparkContext.broadcast(block)  # at most block_chars characters
+
+        def choose(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index, quick = _prepared(sent.value)
+            for batch in batches:
+                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+                good = np.ones(len(texts), bool)
+                for low, high in _runs(texts):
+                    for row, *_ in _find(index, quick, list(range(low, high)), texts[low:high]):
+                        good[row] = False
+                yield batch.filter(pa.array(good))
+
+        docs = docs.mapInArrow(choose, docs.schema)
+    return docs

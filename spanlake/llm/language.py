@@ -142,15 +142,8 @@ def infer(prob: np.ndarray, weight: np.ndarray | None = None) -> tuple[dict[int,
     return shares, best / n
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of ``docs`` and ``lang_pred, lang_score, lang_set, lang_gain``.
-
-    ``lang_pred`` has the largest share, ``lang_score`` is that share, ``lang_set`` the selected
-    languages, and ``lang_gain`` the log likelihood per n-gram above that of a uniform choice of
-    cells.  Null text, text without a letter, or a model that knows no language give ``und`` with
-    score 0 and gain null.  A text with letters but without an n-gram (fewer bytes than one) takes
-    the language under which its padded form is likeliest.
-    """
+def _labeller(docs: DataFrame, model: LanguageModel):
+    """Function of (texts, bytes, offsets) that gives (language, share, languages, gain) of each."""
     languages, known = model.languages, len(model.languages)
     sent = docs.sparkSession.sparkContext.broadcast(model.cells)  # cells x languages, no more
 
@@ -172,14 +165,49 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
         return (languages[top], min(1.0, shares[top]), [languages[k] for k in sorted(shares)],
                 fit_ + math.log(CELLS))
 
+    def label_rows(texts: list, data: np.ndarray, at: np.ndarray) -> list[tuple]:
+        grams, gram_at = _grams(data, at)
+        return [rows_of(text, grams[gram_at[k]:gram_at[k + 1]]) for k, text in enumerate(texts)]
+
+    return label_rows
+
+
+def with_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of ``docs`` in which a language was found.
+
+    Rejected are texts without a letter, null ones, and those under whose best set of languages the
+    n-grams are no likelier than under a uniform choice (noise).  All columns stay as they are.
+    """
+    label_rows = _labeller(docs, model)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, good = batch.column(batch.schema.get_field_index("text")), []
+            for low, high, data, at in chunks(texts):
+                good += [name != UNKNOWN and gain > 0 for name, _, _, gain
+                         in label_rows(texts.slice(low, high - low).to_pylist(), data, at)]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
+def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """All columns of ``docs`` and ``lang_pred, lang_score, lang_set, lang_gain``.
+
+    ``lang_pred`` has the largest share, ``lang_score`` is that share, ``lang_set`` the selected
+    languages, and ``lang_gain`` the log likelihood per n-gram above that of a uniform choice of
+    cells.  Null text, text without a letter, or a model that knows no language give ``und`` with
+    score 0 and gain null.  A text with letters but without an n-gram (fewer bytes than one) takes
+    the language under which its padded form is likeliest.
+    """
+    label_rows = _labeller(docs, model)
+
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             found = []
             for low, high, data, at in chunks(texts):
-                grams, gram_at = _grams(data, at)
-                found += [rows_of(text, grams[gram_at[k]:gram_at[k + 1]])
-                          for k, text in enumerate(texts.slice(low, high - low).to_pylist())]
+                found += label_rows(texts.slice(low, high - low).to_pylist(), data, at)
             names, scores, sets, gains = zip(*found) if found else ((), (), (), ())
             own = [c for c in batch.columns] + [
                 pa.array(names, pa.string()), pa.array(scores, pa.float64()),

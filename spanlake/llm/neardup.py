@@ -14,7 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from spanlake.session import cut_lineage
 
@@ -25,7 +25,6 @@ SLOTS, CHUNKS, ERRORS = 24, 4, 2
 MOST_APART = CHUNKS * (ERRORS + 1) - 1
 SHINGLE = 5
 SIMILARITY = 80  # percent
-_NO_ID = -(1 << 63)
 
 
 def _shingle_sets(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,13 +124,8 @@ def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.select("a", "b", "_a", "_b").mapInArrow(near, "a long, b long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs whose whole shingle sets reach the similarity.
-
-    Only texts of documents in a pair are moved; the pairs of a document that is in many are
-    spread by Spark's skew handling, since both joins are plain equi joins.
-    """
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _shingle_table(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """``node, shingles``: whole sorted sets of the nodes; only their texts are looked at."""
     texts = docs.join(nodes, "node", "left_semi").select("node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +138,14 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFr
                      pa.array([raw[8 * set_at[k]:8 * set_at[k + 1]] for k in range(high - low)], pa.binary())],
                     ["node", "shingles"])
 
-    found = cut_lineage(texts.mapInArrow(sets, "node long, shingles binary"), "shingle-sets")
+    return cut_lineage(texts.mapInArrow(sets, "node long, shingles binary"), "shingle-sets")
+
+
+def _verified(found: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose whole shingle sets reach the similarity.
+
+    A document in many pairs is spread by Spark's skew handling: both joins are plain equi joins.
+    """
     with_b = pairs.join(found.select(F.col("node").alias("b"), F.col("shingles").alias("_b")), "b")
     both = with_b.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("_a")), "a")
 
@@ -177,14 +178,13 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = SIMILARITY
     with different texts are linked through that id; a null doc_id is one document of its own with
     a null component.  Other columns are ignored.
     """
-    rows = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sketches = cut_lineage(_sketches(rows, n), "sketches")
     classes = cut_lineage(
-        sketches.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b")
-        .agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"), F.first("signature").alias("signature")),
+        sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "set_a", "set_b")
+        .agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")),
         "sketch-classes")
-    # An id with several texts may stand for several sets; each set keeps one row.
-    members = sketches.join(classes.drop("signature", "last"), ["n_shingles", "set_a", "set_b"])
+    members = sketches.join(classes.drop("signature"), ["n_shingles", "set_a", "set_b"])
     same = members.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     nodes = classes.select("node", "signature")
     texts = rows.withColumnRenamed("doc_id", "node")
@@ -198,7 +198,8 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = SIMILARITY
     shared = cut_lineage(keys.join(centres, "key"), "shared-keys")
     first = (shared.select("node", F.explode(F.array("low", "high")).alias("other")).where("node <> other")
              .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
-    links = cut_lineage(_verified(texts, cut_lineage(_close(first, nodes), "pairs"), n, percent), "verified")
+    sets = _shingle_table(texts, shared.select("node").distinct(), n)
+    links = cut_lineage(_verified(sets, cut_lineage(_close(first, nodes), "pairs"), percent), "verified")
 
     known = cut_lineage(components(links), "components")
     placed = shared.select("key", "node").join(known, "node", "left").select(
@@ -209,11 +210,28 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = SIMILARITY
     left, right = placed.toDF("key", "a", "ca"), placed.toDF("key", "b", "cb")
     rest = (left.join(right, "key").where("a < b AND ca <> cb").select("a", "b").distinct()
             .join(first, ["a", "b"], "left_anti"))
-    more = _verified(texts, cut_lineage(_close(rest, nodes), "pairs"), n, percent)
+    more = _verified(sets, cut_lineage(_close(rest, nodes), "pairs"), percent)
     whole = components(links.union(more).union(same))
 
-    none = F.col("doc_id") == _NO_ID
     return (sketches.select("doc_id", "n_shingles").join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-            .select(F.when(~none, F.col("doc_id")).alias("doc_id"), "n_shingles",
-                    F.when(~none, F.coalesce("component", "doc_id")).alias("component_id"))
+            .withColumn("component_id", F.coalesce("component", "doc_id")).drop("component")
             .withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id"))))
+
+
+def without_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates: the one with the least doc_id.
+
+    Of rows that repeat that id one stays, the first by text.  Documents with a null id stay.
+    """
+    found = cut_lineage(near_duplicates(docs, n, percent), "near-duplicates")
+    gone = cut_lineage(found.where("NOT kept").select("doc_id").distinct(), "duplicate-ids")
+    again = cut_lineage(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count()
+                        .where("count > 1").select("doc_id"), "repeated-ids")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    if again.isEmpty():
+        return kept
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    place = "_place_of_repeated_id"
+    first = (kept.join(again, "doc_id", "left_semi").withColumn(place, rank).where(f"{place} = 1"))
+    return (kept.join(again, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+            .unionByName(first.select(*[f"`{c}`" for c in docs.columns])))
