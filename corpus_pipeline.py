@@ -1,21 +1,59 @@
-"""A corpus pipeline over ``documents``: each stage is written as Parquet and read by the next."""
+"""A corpus pipeline over ``documents``: each stage is written as Parquet and read by the next.
+
+Language ID drops texts without a language, near-dedup keeps one document of each group,
+decontamination drops documents with benchmark passages, mixing repeats documents to the sources'
+target weights, and the last stage writes token ids and returns their index, one row per copy.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spanlake.llm import mixing
+from spanlake.llm import decontaminate, language, mixing, neardup, tokenfiles
 from spanlake.session import configure, cut_lineage
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in which a language is found; learn from those not held out."""
+    configure(spark)
+    learn = docs.where(~language.held_out(F.col("doc_id"), 1, 3))
+    return language.with_language(docs, language.fit(learn))
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near duplicates."""
+    configure(spark)
+    return neardup.without_duplicates(docs)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item."""
+    configure(spark)
+    return decontaminate.without_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat documents so that the sources meet their target weights."""
     configure(spark)
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("mix", mix_stage)]
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write token files and return their index, read from the files."""
+    configure(spark)
+    return tokenfiles.token_file_index(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language", language_stage),
+    ("near_dedup", dedup_stage),
+    ("decontaminate", decontaminate_stage),
+    ("mix", mix_stage),
+    ("token_files", token_stage),
+]
 
+#: The stages are models, sketches and codes that SQL cannot express.
 ORACLE_SQL = None
 
 
