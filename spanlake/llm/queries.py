@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanlake.session import configure
 
-from . import decontaminate, language, mixing, neardup, quality, repeats, tokenfiles
+from . import (chat, decontaminate, language, licenses, mixing, neardup, quality, repeats,
+               tokenfiles)
 from .registry import query
 
 
@@ -75,3 +76,13 @@ def op8_near_duplicates(spark, sf):
 @query("op10_benchmark_matches")
 def op10_benchmark_matches(spark, sf):
     return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op2_license_scan")
+def op2_license_scan(spark, sf):
+    return licenses.license_matches(table(spark, sf, "documents"))
+
+
+@query("op7_perspective_rotation", chat.PERSPECTIVES_SQL)
+def op7_perspective_rotation(spark, sf):
+    return chat.perspectives(table(spark, sf, "conversations"))
