@@ -10,7 +10,9 @@ average and in more than MOST_APART of 24 with a chance of 0.1 %; at 0.85 it is
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ from .components import components
 
 SLOTS, CHUNKS, ERRORS = 24, 4, 2
 MOST_APART = CHUNKS * (ERRORS + 1) - 1
+#: 64-bit words of a set's bitmap.
+BITMAP = 32
 SHINGLE = 5
 SIMILARITY = 80  # percent
 
@@ -82,7 +86,8 @@ def _sketches(docs: DataFrame, n: int) -> DataFrame:
 
 
 def join_keys(matrix: np.ndarray) -> np.ndarray:
-    """All keys of each signature (a row each): every chunk with every choice of ERRORS slots left out."""
+    """All keys of each signature (a row each): every chunk with every choice of ERRORS slots left
+    out.  The lowest bits of a key are its chunk."""
     width = SLOTS // CHUNKS
     keys = []
     for chunk in range(CHUNKS):
@@ -90,12 +95,13 @@ def join_keys(matrix: np.ndarray) -> np.ndarray:
             packed = np.zeros(len(matrix), np.uint64)
             for slot in kept:
                 packed = packed << np.uint64(16) | matrix[:, chunk * width + slot].astype(np.uint64)
-            keys.append(mix(packed + mix(np.uint64([(chunk << 8) + number + 1]))[0]))
+            key = mix(packed + mix(np.uint64([(chunk << 8) + number + 1]))[0])
+            keys.append(key & ~np.uint64(CHUNKS - 1) | np.uint64(chunk))
     return np.stack(keys, 1)
 
 
 def _keys(sketches: DataFrame) -> DataFrame:
-    """``key, node, place``; ``place`` orders the nodes by a hash that differs between chunks."""
+    """``key, node``: every key of every node."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,36 +115,49 @@ def _keys(sketches: DataFrame) -> DataFrame:
     return sketches.select("node", "signature").mapInArrow(spread, "key long, node long")
 
 
-def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` whose signatures are at most MOST_APART slots apart."""
-    with_a = pairs.join(sketches.select(F.col("node").alias("a"), F.col("signature").alias("_a")), "a")
-    both = with_a.join(sketches.select(F.col("node").alias("b"), F.col("signature").alias("_b")), "b")
+def _bits(side: str) -> list[str]:
+    return [f"{side}{k}" for k in range(BITMAP)]
+
+
+def _may_reach(a: str, b: str, percent: int):
+    """Whether two sets can reach the similarity, by bitmaps of their shingles.
+
+    Every bit in which the bitmaps differ is due to a shingle that only one set has, and with d such
+    shingles the similarity is (n + m - d) / (n + m + d) for sizes n and m; so no pair is lost.
+    """
+    apart = reduce(add, [F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(_bits(a), _bits(b))])
+    size = F.col(f"{a}_size") + F.col(f"{b}_size")
+    return apart * (100 + percent) <= size * (100 - percent)
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, SLOTS)
-                        for k in (2, 3))
-            kept = batch.filter(pa.array((one != two).sum(1) <= MOST_APART))
-            yield pa.RecordBatch.from_arrays(kept.columns[:2], ["a", "b"])
 
-    return both.select("a", "b", "_a", "_b").mapInArrow(near, "a long, b long")
+def _side(sets: DataFrame, name: str) -> DataFrame:
+    """Node, size and bitmap with columns named after one side of a pair."""
+    return sets.select(F.col("node").alias(name), F.col("size").alias(f"{name}_size"),
+                       *[F.col(x).alias(y) for x, y in zip(_bits("bits"), _bits(name))])
 
 
 def _shingle_table(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """``node, shingles``: whole sorted sets of the nodes; only their texts are looked at."""
+    """``node, size, bits0..., shingles`` of the nodes: whole sorted sets and bitmaps of them."""
     texts = docs.join(nodes, "node", "left_semi").select("node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, data, at in chunks(batch.column(1)):
                 hashes, set_at = _shingle_sets(data, at, n)
-                raw = hashes.tobytes()
+                raw, rows = hashes.tobytes(), high - low
+                place = (mix(hashes) % np.uint64(64 * BITMAP)).astype(np.int64)
+                flags = np.zeros(rows * 64 * BITMAP, np.uint8)
+                flags[np.repeat(np.arange(rows), np.diff(set_at)) * 64 * BITMAP + place] = 1
+                bits = np.packbits(flags).view(np.int64).reshape(rows, BITMAP)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, high - low),
-                     pa.array([raw[8 * set_at[k]:8 * set_at[k + 1]] for k in range(high - low)], pa.binary())],
-                    ["node", "shingles"])
+                    [batch.column(0).slice(low, rows), pa.array(np.diff(set_at)),
+                     *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(BITMAP)],
+                     pa.array([raw[8 * set_at[k]:8 * set_at[k + 1]] for k in range(rows)], pa.binary())],
+                    ["node", "size", *_bits("bits"), "shingles"])
 
-    return cut_lineage(texts.mapInArrow(sets, "node long, shingles binary"), "shingle-sets")
+    columns = ", ".join(f"{c} long" for c in ["node", "size", *_bits("bits")])
+    # Rows that repeat an id may give a node twice; any one with the node's id and text is the same.
+    return cut_lineage(texts.mapInArrow(sets, columns + ", shingles binary"), "shingle-sets")
 
 
 def _verified(found: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -165,6 +184,12 @@ def _verified(found: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "_a", "_b").mapInArrow(check, "a long, b long")
 
 
+def _open_side(placed: DataFrame, name: str) -> DataFrame:
+    return placed.select("key", F.col("node").alias(name), F.col("component").alias(f"{name}_component"),
+                         F.col("size").alias(f"{name}_size"),
+                         *[F.col(x).alias(y) for x, y in zip(_bits("bits"), _bits(name))])
+
+
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
@@ -172,7 +197,8 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = SIMILARITY
     shingles; a component is named by its least doc_id, which is the one kept.  Rows with equal sets
     are one node, so copies make no pairs.  Within a key, nodes first meet a few centres; after the
     components of these links, the nodes of a key that are still in different components meet each
-    other, so no link between components is lost and a large group makes few pairs.
+    other where bitmaps of their sets leave the link possible.  So no link between components is
+    lost, and a large group makes few pairs.
 
     A text without words (or null) has an empty set and stands alone.  Rows that repeat a doc_id
     with different texts are linked through that id; a null doc_id is one document of its own with
@@ -189,28 +215,32 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = SIMILARITY
     nodes = classes.select("node", "signature")
     texts = rows.withColumnRenamed("doc_id", "node")
 
-    keys = cut_lineage(_keys(nodes), "sketch-keys")
+    keys = _keys(nodes)
     # Keys of one node only are of no use; counts are summed in tasks first.
-    order = F.struct(F.xxhash64("node"), "node")
-    centres = (keys.groupBy("key").agg(F.min(order).alias("low"), F.max(order).alias("high"))
-               .where("low.node <> high.node")
-               .select("key", F.col("low.node").alias("low"), F.col("high.node").alias("high")))
-    shared = cut_lineage(keys.join(centres, "key"), "shared-keys")
-    first = (shared.select("node", F.explode(F.array("low", "high")).alias("other")).where("node <> other")
-             .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+    used = keys.groupBy("key").count().where("count > 1").select("key")
+    shared = cut_lineage(keys.join(used, "key"), "shared-keys")
     sets = _shingle_table(texts, shared.select("node").distinct(), n)
-    links = cut_lineage(_verified(sets, cut_lineage(_close(first, nodes), "pairs"), percent), "verified")
 
-    known = cut_lineage(components(links), "components")
-    placed = shared.select("key", "node").join(known, "node", "left").select(
-        "key", "node", F.coalesce("component", "node").alias("component"))
+    # First and last node of each key by a hash that depends on the chunk: few centres for many keys.
+    place = F.struct(F.xxhash64("node", F.col("key").bitwiseAND(F.lit(CHUNKS - 1))), "node")
+    centres = (shared.groupBy("key").agg(F.min(place).alias("low"), F.max(place).alias("high"))
+               .select("key", F.array("low.node", "high.node").alias("centres")))
+    first = (shared.join(centres, "key").select("node", F.explode("centres").alias("other"))
+             .where("node <> other")
+             .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+    near = (first.join(_side(sets, "a"), "a").join(_side(sets, "b"), "b")
+            .where(_may_reach("a", "b", percent)).select("a", "b"))
+    links = cut_lineage(_verified(sets, cut_lineage(near, "pairs"), percent), "verified")
+
+    known = components(links)
+    placed = shared.join(known, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     open_keys = (placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"))
                  .where("c <> d").select("key"))
-    placed = cut_lineage(placed.join(open_keys, "key", "left_semi"), "open-keys")
-    left, right = placed.toDF("key", "a", "ca"), placed.toDF("key", "b", "cb")
-    rest = (left.join(right, "key").where("a < b AND ca <> cb").select("a", "b").distinct()
-            .join(first, ["a", "b"], "left_anti"))
-    more = _verified(sets, cut_lineage(_close(rest, nodes), "pairs"), percent)
+    placed = cut_lineage(placed.join(open_keys, "key", "left_semi").join(sets.drop("shingles"), "node"), "open-keys")
+    rest = (_open_side(placed, "a").join(_open_side(placed, "b"), "key")
+            .where((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component"))
+                   & _may_reach("a", "b", percent)).select("a", "b").distinct())
+    more = _verified(sets, cut_lineage(rest, "pairs"), percent)
     whole = components(links.union(more).union(same))
 
     return (sketches.select("doc_id", "n_shingles").join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left")
