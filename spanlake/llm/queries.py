@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spanlake.session import configure
 
 from . import (chat, decontaminate, language, licenses, mixing, neardup, quality, repeats,
-               tokenfiles)
+               tokenfiles, vectors)
 from .registry import query
 
 
@@ -86,3 +86,27 @@ def op2_license_scan(spark, sf):
 @query("op7_perspective_rotation", chat.PERSPECTIVES_SQL)
 def op7_perspective_rotation(spark, sf):
     return chat.perspectives(table(spark, sf, "conversations"))
+
+
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (
+  SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (
+  SELECT vec_id AS node, vec_id AS root FROM v
+  UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node WHERE r.root < l.b),
+least_root AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, root AS component_id, vec_id = root AS kept
+FROM v JOIN least_root ON node = vec_id LEFT JOIN degree ON a = vec_id
+"""
+
+
+@query("op1_near_vectors", OP1_SQL)
+def op1_near_vectors(spark, sf):
+    return vectors.near_vectors(table(spark, sf, "embeddings"))
