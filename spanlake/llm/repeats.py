@@ -220,7 +220,7 @@ def _compare(texts: DataFrame, pieces: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             which = batch.column(batch.schema.get_field_index("which"))
-            dids = batch.column(batch.schema.get_field_index("did")).to_pylist()
+            dids, keys = (batch.column(k).to_pylist() for k in (0, 1))
             for row, data, hashes, whole, first, n in _pieces_of(batch, "text", "want"):
                 wanted = {(w["piece"], w["first"]): w["many"] for w in which[row].as_py()}
                 rows = []
@@ -228,15 +228,15 @@ def _compare(texts: DataFrame, pieces: DataFrame) -> DataFrame:
                                       first.tolist(), n.tolist()):
                     many = wanted.get((p, f))
                     if many is not None:
-                        rows.append((h, p, dids[row], f, m, many, data[f:f + m + LENGTH - 1].tobytes()))
+                        rows.append((h, p, dids[row], keys[row], f, m, many, data[f:f + m + LENGTH - 1].tobytes()))
                 if rows:
-                    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.binary()]
+                    kinds = [pa.int64()] * 6 + [pa.bool_(), pa.binary()]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
-                        ["anchor", "piece", "did", "first", "n", "many", "bytes"])
+                        ["anchor", "piece", "did", "doc_key", "first", "n", "many", "bytes"])
 
     cut_out = cut_lineage(joined.mapInArrow(
-        cut, "anchor long, piece long, did long, first long, n long, many boolean, bytes binary"), "repeat-pieces")
+        cut, "anchor long, piece long, did long, doc_key long, first long, n long, many boolean, bytes binary"), "repeat-pieces")
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -267,19 +267,21 @@ def _compare(texts: DataFrame, pieces: DataFrame) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, p, did, first, n, raw in zip(*[c.to_pylist() for c in batch.columns]):
+            for h, p, did, key, first, n, raw in zip(*[c.to_pylist() for c in batch.columns]):
                 data, at = np.frombuffer(raw, np.uint8), np.arange(n)
                 one = span_hashes(data, at, at + LENGTH)
                 two = span_hashes(data ^ np.uint8(0x5A), at, at + LENGTH)
                 yield pa.RecordBatch.from_arrays(
                     [_signed(one), _signed(mix(two)), pa.array([h] * n), pa.array([p] * n),
-                     pa.array([did] * n, pa.int64()), pa.array(first + at), pa.array(at.astype(np.int32))],
-                    ["w1", "w2", "anchor", "piece", "did", "place", "nth"])
+                     pa.array([did] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(first + at),
+                     pa.array(at.astype(np.int32))],
+                    ["w1", "w2", "anchor", "piece", "did", "doc_key", "place", "nth"])
 
-    crowd = (cut_out.where("many").select("anchor", "piece", "did", "first", "n", "bytes")
+    crowd = (cut_out.where("many").select("anchor", "piece", "did", "doc_key", "first", "n", "bytes")
              .dropDuplicates(["anchor", "piece"])
-             .mapInArrow(windows, "w1 long, w2 long, anchor long, piece long, did long, place long, nth int"))
-    place = F.struct("did", "place")
+             .mapInArrow(windows, "w1 long, w2 long, anchor long, piece long, did long, doc_key long, place long, nth int"))
+    # An id may stand for several texts, so the place names the text too.
+    place = F.struct("did", "place", "doc_key")
     met = (crowd.groupBy("w1", "w2").agg(F.min(place).alias("low"), F.max(place).alias("high"))
            .where("low <> high"))
     step = F.array(F.col("nth"), F.col("nth") + 1)

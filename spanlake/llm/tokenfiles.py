@@ -31,7 +31,7 @@ LINE = 256
 _MARKS = string.punctuation
 ROWS_AT_ONCE, CHARS_AT_ONCE = 1000, 2_000_000
 BLOCK_BYTES = 1 << 20
-DOCS_PER_PART = 20_000
+DOCS_PER_PART, MOST_PARTS = 5_000, 50_000
 
 
 def _tokenizer(path: str):
@@ -202,11 +202,11 @@ def count_ids(encoded: DataFrame, n_ids: int) -> np.ndarray:
 def _part_bounds(docs: DataFrame) -> list[int]:
     """Least ids of parts of about DOCS_PER_PART documents."""
     n = docs.count()
-    parts = min(10_000, n // DOCS_PER_PART + 1)
+    parts = min(MOST_PARTS, n // DOCS_PER_PART + 1)
     steps = [k / parts for k in range(1, parts)]
     if not steps:
         return []
-    got = docs.agg(F.percentile_approx("doc_id", steps, 100 * parts).alias("b")).first().b
+    got = docs.agg(F.percentile_approx("doc_id", steps, 20 * parts).alias("b")).first().b
     return sorted(set(got or []))
 
 
