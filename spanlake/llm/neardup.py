@@ -237,11 +237,24 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = SIMILARITY
     open_keys = (placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"))
                  .where("c <> d").select("key"))
     placed = cut_lineage(placed.join(open_keys, "key", "left_semi").join(sets.drop("shingles"), "node"), "open-keys")
+    # Second round, by centres that differ from key to key, for nodes that missed the first ones.
+    again = F.struct(F.xxhash64("node", "key"), "node")
+    ends = (placed.groupBy("key").agg(F.min(again).alias("low"), F.max(again).alias("high"))
+            .select("key", F.explode(F.array("low.node", "high.node")).alias("b")))
+    second = (_open_side(placed, "a").join(_open_side(placed, "b").join(ends, ["key", "b"], "left_semi"), "key")
+              .where((F.col("a_component") != F.col("b_component")) & _may_reach("a", "b", percent))
+              .select("a", "b", "a_component", "b_component").distinct())
+    second = cut_lineage(second, "pairs")
+    linked = cut_lineage(_verified(sets, second.select("a", "b"), percent), "verified")
+    merged = components(second.join(linked, ["a", "b"]).select(
+        F.col("a_component").alias("a"), F.col("b_component").alias("b")))
+    placed = (placed.withColumnRenamed("component", "old").join(merged.withColumnRenamed("node", "old"), "old", "left")
+              .withColumn("component", F.coalesce("component", "old")).drop("old"))
     rest = (_open_side(placed, "a").join(_open_side(placed, "b"), "key")
             .where((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component"))
                    & _may_reach("a", "b", percent)).select("a", "b").distinct())
     more = _verified(sets, cut_lineage(rest, "pairs"), percent)
-    whole = components(links.union(more).union(same))
+    whole = components(links.union(linked).union(more).union(same))
 
     return (sketches.select("doc_id", "n_shingles").join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .withColumn("component_id", F.coalesce("component", "doc_id")).drop("component")
