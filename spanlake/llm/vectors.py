@@ -3,7 +3,9 @@
 Vectors are scaled to length 1, so a cosine of at least ``least`` is a distance of at most r.  If two
 such vectors have different home lists, one of them lies within r / 2 of the plane that separates
 the two lists' centres; each vector therefore visits every list whose plane is that near, and every
-linked pair meets in a list.  There, asymmetric distances from the visitor to the coded members
+linked pair meets in a list.  In many dimensions that is more than needed: what counts is the part of
+the pair's difference along the plane's normal, for a difference without a preferred direction
+r / sqrt(dimensions) on average, so SIGMAS times that is taken where it is less than r.  There, asymmetric distances from the visitor to the coded members
 (centre plus residual codes) give a shortlist: a member's own coding error bounds how far its true
 distance can be from the coded one, so no linked pair is lost.  The exact cosine decides.
 """
@@ -26,7 +28,10 @@ LEAST = 0.9
 #: Centres and codes are fitted on at most so many vectors and numbers, the first by hash of id.
 SAMPLE_ROWS, SAMPLE_NUMBERS = 16_384, 4_000_000
 #: Vectors per list aimed at, and the most lists.
-PER_LIST, MOST_LISTS = 256, 4096
+PER_LIST, MOST_LISTS = 512, 4096
+#: Standard deviations of a difference along a plane's normal that visits allow for; up to SIGMAS
+#: squared dimensions no linked pair can miss, beyond that fewer than one in ten thousand.
+SIGMAS = 4.0
 #: Dimensions of a subspace, codes per subspace, rounds of fitting.
 SUB, CODES, ROUNDS, SEED = 4, 64, 8, 5
 #: Members and visitors that meet in one task.
@@ -111,15 +116,29 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(len(column), -1)
 
 
-def asymmetric(index: VectorIndex, queries: np.ndarray, centre: int, codes: np.ndarray) -> np.ndarray:
-    """Squared distances from queries to coded members of a list, by one table per query and subspace."""
+def shortlist(index: VectorIndex, queries: np.ndarray, centre: int, codes: np.ndarray,
+              limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, member) pairs whose asymmetric squared distance is within the member's limit.
+
+    One table per query and subspace.  The sum over some subspaces is a lower bound, so after a
+    third of them only the pairs still within the limit go on.
+    """
     rest = index.padded(queries - index.centres[centre])
-    out = np.zeros((len(queries), len(codes)))
+    tables = []
     for s, book in enumerate(index.books):
         part = rest[:, s * SUB:(s + 1) * SUB]
-        table = (part ** 2).sum(1)[:, None] - 2 * part @ book.T + (book ** 2).sum(1)
-        out += table[:, codes[:, s]]
-    return out
+        tables.append(((part ** 2).sum(1)[:, None] - 2 * part @ book.T + (book ** 2).sum(1)).astype(np.float32))
+    some = -(-len(tables) // 3)
+    sums = np.zeros((len(queries), len(codes)), np.float32)
+    for s in range(some):
+        sums += tables[s][:, codes[:, s]]
+    bound = limit.astype(np.float32) + np.float32(1e-4)  # above what single precision can lose
+    i, j = np.nonzero(sums <= bound)
+    total = sums[i, j]
+    for s in range(some, len(tables)):
+        total += tables[s][i, codes[j, s]]
+    near = total <= bound[j]
+    return i[near], j[near]
 
 
 def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +212,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
 
 def _one_length(spark, nodes: DataFrame, size: int, least: float, radius: float) -> tuple[DataFrame, DataFrame]:
     """``node, n`` and ``a, b`` of the links among vectors of one length."""
-    total = nodes.count()
+    total, reach = nodes.count(), radius * min(1.0, SIGMAS / math.sqrt(size))
     some = min(SAMPLE_ROWS, max(1, SAMPLE_NUMBERS // size))
     picked = nodes.orderBy(F.xxhash64("node"), "node").limit(some).select("vector").collect()  # bounded
     sample = np.array([r.vector for r in picked], float)
@@ -208,7 +227,7 @@ def _one_length(spark, nodes: DataFrame, size: int, least: float, radius: float)
             x = x / np.abs(x).max(1, keepdims=True)
             x = x / np.sqrt((x * x).sum(1, keepdims=True))
             home = _nearest(x, index.centres)
-            lists = visited(index, x, home, radius)
+            lists = visited(index, x, home, reach)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), batch.column(2), pa.array(home.astype(np.int32)),
                  pa.array([v.tolist() for v in lists], pa.list_(pa.int32())),
@@ -241,8 +260,9 @@ def _one_length(spark, nodes: DataFrame, size: int, least: float, radius: float)
             for low in range(0, len(out), 20_000):
                 lists, numbers, is_member, k = zip(*out[low:low + 20_000])
                 at = pa.array(k)
+                own = pa.array([x if m else None for x, m in zip(k, is_member)], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lists, pa.int32()), pa.array(numbers, pa.int32()), batch.column(3).take(at),
+                    [pa.array(lists, pa.int32()), pa.array(numbers, pa.int32()), batch.column(3).take(own),
                      pa.array(is_member), batch.column(0).take(at), batch.column(1).take(at),
                      batch.column(2).take(at), batch.column(4).take(at)],
                     ["list", "block", "visits", "member", "node", "copies", "home", "vector"])
@@ -261,8 +281,7 @@ def _one_length(spark, nodes: DataFrame, size: int, least: float, radius: float)
         link_a, link_b = [], []
         for low in range(0, len(x), 256):
             some = x[low:low + 256]
-            near = asymmetric(index, some, centre, codes) <= (radius + error[None, :]) ** 2 + _SLACK
-            i, j = np.nonzero(near)
+            i, j = shortlist(index, some, centre, codes, (radius + error) ** 2)
             for part in range(0, len(i), 100_000):
                 p, q = i[part:part + 100_000], j[part:part + 100_000]
                 p, q = (z[np.einsum("ij,ij->i", some[p], y[q]) >= least] for z in (p, q))

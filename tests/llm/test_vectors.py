@@ -74,5 +74,16 @@ def test_visits_and_shortlist_lose_nothing():
     assert len(a) > 300 and len(index.centres) > 20
     for i, j in zip(a.tolist(), b.tolist()):
         assert home[i] == home[j] or home[j] in visits[i] or home[i] in visits[j]
-        d = vectors.asymmetric(index, x[[i]], home[j], codes[[j]])[0, 0]
-        assert d <= (radius + error[j]) ** 2 + 1e-9
+        assert len(vectors.shortlist(index, x[[i]], home[j], codes[[j]], (radius + error[[j]]) ** 2)[0]) == 1
+
+
+def test_recall_in_many_dimensions(spark):
+    rnd = np.random.default_rng(6)
+    x = rnd.normal(size=(4000, 64))
+    x[2000:] = x[rnd.integers(0, 2000, 2000)] + rnd.normal(size=(2000, 64)) * 0.47  # cosines around 0.9
+    frame = spark.createDataFrame([(k, v.tolist(), 0, 1, "x") for k, v in enumerate(x)], SCHEMA)
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(frame).collect()}
+    x = np.float32(x).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.9).sum(1) - 1
+    assert all(got[k] <= n for k, n in enumerate(want)) and sum(got.values()) >= 0.99 * want.sum() > 500
