@@ -13,12 +13,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_STEP = 0xD6E8FEB86659FD93
 CHUNK_BYTES = 1 << 20
 
 
+#: Rows that go to a Python worker at once: whole texts are large, and a worker holds a batch twice.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Have Spark send BATCH_ROWS rows at once to workers from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
 def worker_cache(name: str) -> types.ModuleType:
     """An object that lives as long as the Python worker and is shared by its tasks."""
     return sys.modules.setdefault(f"_worker_cache_{name}", types.ModuleType(name))

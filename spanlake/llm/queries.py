@@ -8,11 +8,12 @@ from spanlake.session import configure
 
 from . import (chat, decontaminate, language, licenses, mixing, neardup, quality, repeats,
                tokenfiles, vectors)
+from .bytetext import small_batches
 from .registry import query
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    configure(spark)
+    small_batches(configure(spark))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
