@@ -11,37 +11,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanlake.llm import decontaminate, language, mixing, neardup, tokenfiles
+from spanlake.llm.bytetext import small_batches
 from spanlake.session import configure, cut_lineage
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in which a language is found; learn from those not held out."""
-    configure(spark)
+    small_batches(configure(spark))
     learn = docs.where(~language.held_out(F.col("doc_id"), 1, 3))
     return language.with_language(docs, language.fit(learn))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates."""
-    configure(spark)
+    small_batches(configure(spark))
     return neardup.without_duplicates(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
-    configure(spark)
+    small_batches(configure(spark))
     return decontaminate.without_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat documents so that the sources meet their target weights."""
-    configure(spark)
+    small_batches(configure(spark))
     return mixing.mixed_documents(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write token files and return their index, read from the files."""
-    configure(spark)
+    small_batches(configure(spark))
     return tokenfiles.token_file_index(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
