@@ -1,7 +1,8 @@
 """Attribute values of the wire format as text.
 
 An attribute value is one of string, bool, int, double, bytes, array or key-value list.
-Spark structs cannot recurse, so nesting is read to a fixed depth of three.
+Spark structs cannot recurse, so nesting is read to a fixed depth of three; what lies deeper is
+kept as the JSON text it came as.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ def any_value_type(depth: int = DEPTH) -> T.StructType:
             T.StructField("kvlistValue",
                           T.StructType([T.StructField("values", T.ArrayType(pair))])),
         ]
+    else:  # a text field takes nested JSON as it is
+        fields += [T.StructField("arrayValue", T.StringType()),
+                   T.StructField("kvlistValue", T.StringType())]
     return T.StructType(fields)
 
 
@@ -36,17 +40,27 @@ KEY_VALUES = T.ArrayType(T.StructType([
     T.StructField("key", T.StringType()), T.StructField("value", any_value_type())]))
 
 
+_EXPONENT = "'^-?([0-9])[.]([0-9]+)E(-?[0-9]+)$'"
+
+
 def _double_sql(x: str) -> str:
-    """Shortest decimal text without exponent; integral values carry no fraction."""
+    """Decimal text without exponent; integral values carry no fraction.
+
+    An exponent is undone by moving the point within the digits, so none is lost at any size.
+    """
+    text = f"CAST({x} AS STRING)"
+    digits = (f"concat(regexp_extract({text}, {_EXPONENT}, 1), "
+              f"regexp_replace(regexp_extract({text}, {_EXPONENT}, 2), '^0$', ''))")
+    power = f"CAST(regexp_extract({text}, {_EXPONENT}, 3) AS INT)"
     return f"""CASE
         WHEN {x} IS NULL THEN NULL WHEN isnan({x}) THEN 'NaN'
         WHEN {x} = double('Infinity') THEN 'inf' WHEN {x} = double('-Infinity') THEN '-inf'
         WHEN abs({x}) < 1e15D AND {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS STRING)
-        WHEN abs({x}) >= 1e7D THEN coalesce(regexp_replace(CAST(TRY_CAST(CAST({x} AS STRING)
-            AS DECIMAL(38,10)) AS STRING), '\\\\.?0+$', ''), CAST({x} AS STRING))
-        WHEN abs({x}) >= 1e-3D THEN CAST({x} AS STRING)
-        ELSE regexp_replace(CAST(TRY_CAST(CAST({x} AS STRING) AS DECIMAL(38,37)) AS STRING),
-            '0+$', '') END"""
+        WHEN NOT contains({text}, 'E') THEN {text}
+        ELSE concat(IF({x} < 0, '-', ''), CASE
+            WHEN abs({x}) < 1 THEN concat('0.', repeat('0', -{power} - 1), {digits})
+            WHEN length({digits}) <= {power} + 1 THEN rpad({digits}, {power} + 1, '0')
+            ELSE concat(substring({digits}, 1, {power} + 1), '.', substring({digits}, {power} + 2)) END) END"""
 
 
 def _value_sql(v: str, depth: int) -> str:
@@ -61,6 +75,8 @@ def _value_sql(v: str, depth: int) -> str:
             f"IF({v}.kvlistValue IS NULL, NULL, concat('{{', coalesce(array_join(transform("
             f"{v}.kvlistValue.values, {pair} -> concat({pair}.key, '=', "
             f"{_value_sql(pair + '.value', depth - 1)})), ','), ''), '}}'))"]
+    else:
+        parts += [f"{v}.arrayValue", f"{v}.kvlistValue"]
     return f"coalesce({', '.join(parts)}, '')"
 
 

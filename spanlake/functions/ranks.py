@@ -137,17 +137,20 @@ def banded_quantiles(
     return one.selectExpr(*keys, f"coalesce(_n, 0L) AS `{count}`", *sums, *between)
 
 
+def sorted_quantile(values: str, q: float, name: str) -> str:
+    """SQL of a quantile of a sorted array column without nulls."""
+    at = f"({q!r}D * (size({values}) - 1))"
+    low, high = (f"get({values}, CAST({end}({at}) AS INT))" for end in ("floor", "ceil"))
+    return _between(low, high, at, name)
+
+
 def _buffered_quantiles(df: DataFrame, value: str, quantiles: Mapping[str, float],
                         keys: Sequence[str], sums: Sequence[str], count: str) -> DataFrame:
     """Quantiles by one aggregate that sorts each group's values in a bounded buffer."""
     held = df.groupBy(*keys).agg(
         F.expr("count(1) AS _n"), *[F.sum(n).alias(n) for n in sums],
         F.expr(f"sort_array(collect_list(`{value}`)) AS _values"))
-    columns = []
-    for name, q in quantiles.items():
-        at = _position(q)
-        low, high = (f"get(_values, CAST({end}({at}) AS INT))" for end in ("floor", "ceil"))
-        columns.append(_between(low, high, at, name))
+    columns = [sorted_quantile("_values", q, name) for name, q in quantiles.items()]
     return held.selectExpr(*keys, f"_n AS `{count}`", *sums, *columns)
 
 

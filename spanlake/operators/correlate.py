@@ -15,7 +15,8 @@ def has_trace() -> Column:
 
 
 def correlate_logs(spans: DataFrame, logs: DataFrame) -> DataFrame:
-    """Every traced log beside the span that wrote it.
+    """Every traced log beside the span that wrote it; null span columns where that span is not
+    stored or the log names none.
 
     The join key is trace and span, so a log meets at most one span: a busy trace never
     multiplies its logs by its spans.  A hot span is split by AQE skew handling.
@@ -25,7 +26,7 @@ def correlate_logs(spans: DataFrame, logs: DataFrame) -> DataFrame:
     right = spans.where(has_trace()).select(
         "tenant_id", "trace_id", "span_id", F.col("name").alias("span_name"),
         F.col("service").alias("span_service"), "start_time", "duration_ns", "status_code")
-    return left.join(right, ["tenant_id", "trace_id", "span_id"])
+    return left.join(right, ["tenant_id", "trace_id", "span_id"], "left")
 
 
 def trace_logs(logs: DataFrame, trace_id: str) -> DataFrame:

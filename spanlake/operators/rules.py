@@ -7,7 +7,6 @@ A rule is (tenant_id, rule_id, metric_name, filter_type, filter_value, value_fie
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -16,10 +15,6 @@ from ..functions.text import SEPARATOR, has_token, words
 from ..functions.topk import top_k
 
 FILTER_TYPES = ("keyword", "severity", "service", "body_regex")
-#: Up to this many enabled rules become literal predicates evaluated in one pass over the logs.
-LITERAL_RULES = 64
-#: Up to this many distinct keywords, the words of a log are matched before they are exploded.
-KEYWORD_LIMIT = 10_000
 
 
 def rule_predicate(rule: Mapping[str, str]) -> Column:
@@ -41,91 +36,49 @@ def checked_type() -> Column:
         F.raise_error(F.concat(F.lit("unknown filter type: "), kind)))
 
 
-def _keywords(rules: DataFrame) -> Column:
-    """Keywords of the enabled rules as one array; a scalar subquery cut at KEYWORD_LIMIT + 1."""
-    wanted = rules.where("enabled AND filter_type = 'keyword'").select("filter_value").distinct()
-    return wanted.limit(KEYWORD_LIMIT + 1).agg(
-        F.collect_set("filter_value").alias("words")).scalar()
+def _patterns(rules: DataFrame) -> Column:
+    """Distinct (tenant, regex) pairs of the enabled rules as one array; a scalar subquery."""
+    wanted = rules.where("enabled AND filter_type = 'body_regex'").select(
+        "tenant_id", F.col("filter_value").alias("regex")).distinct()
+    return wanted.agg(F.collect_list(F.struct("tenant_id", "regex")).alias("patterns")).scalar()
 
 
-def _probes(keywords: Column) -> Column:
-    """What a log can match: its severity, its service, its keywords, and every regex rule.
-
-    With more keywords than fit in an array, all words of the log become probes.
-    """
-    found = words(F.col("body"))
-    hits = (F.when(F.size(keywords) == 0, F.array().cast("array<string>"))
-            .when(F.size(keywords) <= KEYWORD_LIMIT, F.array_intersect(found, keywords))
-            .otherwise(F.array_distinct(found)))
+def _probes() -> Column:
+    """What a log can match: its severity, its service, its distinct words, and those of the
+    ``_patterns`` of its tenant that its body matches, each tested once however many rules share
+    it."""
+    body = F.coalesce("body", F.lit(""))
+    found = F.filter(F.array_distinct(words(body)), lambda w: w != "")
+    hits = F.filter("_patterns", lambda p: (p["tenant_id"] == F.col("tenant_id"))
+                    & F.coalesce(F.call_function("rlike", F.col("body"), p["regex"]), F.lit(False)))
     return F.concat(F.array(F.concat(F.lit("severity:"), "severity_text"),
-                            F.concat(F.lit("service:"), "service"), F.lit("body_regex:")), hits)
+                            F.concat(F.lit("service:"), "service")), found,
+                    F.transform(hits, lambda p: F.concat(F.lit("body_regex:"), p["regex"])))
 
 
 def _rule_key() -> Column:
     """Join key of a rule.  Words hold no ':', so they cannot clash with the prefixed keys; a
-    keyword with a separator in it is no word and matches nothing."""
+    keyword that is empty or has a separator in it is no word and matches nothing."""
     kind, value = checked_type(), F.col("filter_value")
-    return (F.when(kind == "keyword", F.when(~value.rlike(SEPARATOR), value))
-            .when(kind == "body_regex", "body_regex:")
+    return (F.when(kind == "keyword", F.when(~value.rlike(SEPARATOR) & (value != ""), value))
             .otherwise(F.concat(kind, F.lit(":"), value)))
 
 
-def apply_rules(logs: DataFrame, rules: DataFrame,
-                literal_rules: int = LITERAL_RULES) -> DataFrame:
-    """One metric row per log and enabled rule that matches it.
-
-    Looks at no more than ``literal_rules`` + 1 rules on the driver.  If that is all of them,
-    they become literal predicates (:func:`apply_listed`); otherwise the rules are joined
-    (:func:`apply_joined`).  Both give the same rows.
-    """
-    listed = rules.where("enabled").take(literal_rules + 1)
-    if len(listed) <= literal_rules:
-        return apply_listed(logs, [r.asDict() for r in listed])
-    return apply_joined(logs, rules)
+def apply_rules(logs: DataFrame, rules: DataFrame) -> DataFrame:
+    """One metric row per log and enabled rule that matches it, for any number of rules.
 
-
-def apply_listed(logs: DataFrame, rules: list[dict]) -> DataFrame:
-    """Rules as literal predicates: one pass, no shuffle, and the body is not carried along.
-
-    Where every rule tests severity or service, the predicates also reach the scan.
-    """
-    # Rules often share a filter: each distinct one is evaluated once, as a column.
-    filters = {(r["filter_type"], r["filter_value"]): rule_predicate(r) for r in rules}
-    names = {key: f"_f{i}" for i, key in enumerate(filters)}
-    hits = [F.lit(None).cast("struct<metric_name:string,value_field:string,_value:double>")]
-    for rule in rules:
-        field = rule["value_field"] or ""
-        test = ((F.col("tenant_id") == rule["tenant_id"])
-                & F.col(names[rule["filter_type"], rule["filter_value"]]))
-        hits.append(F.when(test & has_attr(field) if field else test, F.struct(
-            F.lit(rule["metric_name"]).alias("metric_name"), F.lit(field).alias("value_field"),
-            (attr_number(field) if field else F.lit(1.0)).alias("_value"))))
-    if all(kind in ("severity", "service") for kind, _ in filters):
-        logs = logs.where(reduce(lambda a, b: a | b, filters.values(), F.lit(False)))
-    tested = logs.withColumns({names[key]: test for key, test in filters.items()})
-    matched = tested.select("tenant_id", "timestamp", "service", "env", "attrs_keys",
-                            "attrs_values", F.explode(F.array_compact(F.array(*hits))).alias("_m"))
-    return _metric_rows(matched.select("*", "_m.*"))
-
-
-def apply_joined(logs: DataFrame, rules: DataFrame) -> DataFrame:
-    """Any number of rules, by one equi join.
-
-    A log is exploded into the few keys it can match, a rule has one key.  Regular expressions
-    share one key per tenant and are tested as a residual condition.  Spark broadcasts the
-    rules where their size allows; the join stays a key join beyond that, and a hot key such as
-    one severity is split by the skew handling of AQE.
+    One lazy path: a log is exploded into the keys it can match, a rule has one key, and an equi
+    join brings them together.  Spark broadcasts the rules where their size allows; beyond that a
+    hot key such as one severity is split by the skew handling of AQE.
     """
     keyed = rules.where("enabled").select(
         F.col("tenant_id").alias("_tenant"), "metric_name", _rule_key().alias("_key"),
-        F.when(F.col("filter_type") == "body_regex", F.col("filter_value")).alias("_regex"),
         F.coalesce("value_field", F.lit("")).alias("value_field"))
-    probed = logs.select("tenant_id", "timestamp", "body", "service", "env", "attrs_keys",
-                         "attrs_values", F.explode(_probes(_keywords(rules))).alias("_probe"))
-    matches = F.coalesce(F.call_function("rlike", F.col("body"), F.col("_regex")), F.lit(True))
-    on = ((F.col("tenant_id") == F.col("_tenant")) & (F.col("_probe") == F.col("_key"))
-          & matches)
+    probed = logs.withColumn("_patterns", _patterns(rules)).select(
+        "tenant_id", "timestamp", "service", "env", "attrs_keys", "attrs_values",
+        F.explode(_probes()).alias("_probe"))
     field = F.col("value_field")
+    on = (F.col("tenant_id") == F.col("_tenant")) & (F.col("_probe") == F.col("_key"))
     found = probed.join(keyed, on).where((field == "") | has_attr(field))
     return _metric_rows(found.withColumn(
         "_value", F.when(field == "", 1.0).otherwise(attr_number(field))))

@@ -1,6 +1,6 @@
 """StatsD packets to metric rows, with built-in expressions only.
 
-A packet is one text row (a datagram, so at most 64 KB); its lines are parsed inside the row.
+A packet is one text row of any length; its lines are parsed inside the row.
 Nothing shuffles, and the same code serves batch and streams.
 """
 
@@ -14,6 +14,8 @@ from ..functions.times import instant
 LINE_TYPES = {"g": 0, "c": 1, "ms": 0, "h": 0, "s": 0}
 MIN_RATE = 0.0001
 # The numbers the protocol accepts; a cast alone would also take '1d' or '1f'.
+# Longer than any text or array, so a cut with it goes to the end.
+_ALL = 1 << 30
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -32,7 +34,7 @@ def _before_colon(text: Column) -> Column:
 def _tags(extras: Column) -> Column:
     """Key/value structs of the '#...' parts; a tag without a value gets ''."""
     marked = F.filter(extras, lambda p: p.startswith("#"))
-    pieces = F.flatten(F.transform(marked, lambda p: F.split(F.substring(p, 2, 65536), ",")))
+    pieces = F.flatten(F.transform(marked, lambda p: F.split(F.substring(p, 2, _ALL), ",")))
     pairs = F.transform(pieces, lambda t: F.struct(
         _before_colon(t).alias("key"),
         F.when(F.contains(t, F.lit(":")), _after_colon(t)).otherwise("").alias("value")))
@@ -43,12 +45,12 @@ def parse_line(line: Column) -> Column:
     """``name:value|type[@rate][|@rate][|#k:v,k]`` as a struct, null where it is not valid."""
     text = F.trim(line)
     parts = F.transform(F.split(F.regexp_replace(text, "^[^:]*:", ""), "\\|"), lambda p: F.trim(p))
-    extras = F.slice(parts, 3, 65536)
+    extras = F.slice(parts, 3, _ALL)
     typed = F.split(F.get(parts, 1), "@")
     kind = F.trim(F.get(typed, 0))
     raw = _number(F.get(parts, 0))
     own_part = F.get(F.filter(extras, lambda p: p.startswith("@")), 0)
-    rate = F.coalesce(_number(F.get(typed, 1)), _number(F.substring(own_part, 2, 64)), F.lit(1.0))
+    rate = F.coalesce(_number(F.get(typed, 1)), _number(F.substring(own_part, 2, _ALL)), F.lit(1.0))
     value = (F.when(kind == "c", raw / F.greatest(rate, F.lit(MIN_RATE)))
              .when(kind == "s", F.lit(1.0)).otherwise(raw))
     code = F.when(kind == "c", LINE_TYPES["c"]).otherwise(0)

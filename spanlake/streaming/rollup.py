@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.codes import is_error
-from ..operators.rollup import KEYS, QUANTILES, SKETCH_K, with_estimates
+from ..functions.ranks import sorted_quantile
+from ..operators.rollup import QUANTILES, SKETCH_K, with_estimates
 
 
 def _windowed(spans: DataFrame, width: str, delay: str):
@@ -18,8 +19,8 @@ def stream_span_stats(spans: DataFrame, width: str = "1 minute", delay: str = "5
     """Minute statistics, emitted once the watermark has passed the minute.
 
     State per group is counts and one quantile sketch of bounded size; the sketch is kept in
-    the output, so minutes merge into hours later.  ``exact=True`` keeps every distinct value
-    of a minute in state instead, for streams with modest minutes.
+    the output, so minutes merge into hours later.  ``exact=True`` keeps every value of a
+    minute in state instead, for streams with modest minutes.
     """
     errors = F.sum(F.when(is_error(), 1).otherwise(0)).alias("errors")
     count = F.count(F.lit(1)).alias("requests")
@@ -31,11 +32,10 @@ def stream_span_stats(spans: DataFrame, width: str = "1 minute", delay: str = "5
             "duration_ns", F.lit(SKETCH_K)).alias("sketch"))
         return with_estimates(parts.select("tenant_id", "service", "env", minute, "requests",
                                            "errors", "total_ns", "sketch"))
-    points = F.percentile("duration_ns", F.array(*[F.lit(q) for q in QUANTILES.values()]))
-    return grouped.agg(count, errors, total, points.alias("_q")).select(
+    # Sorted values and the interpolation of the batch form, so that both agree to the last digit.
+    held = F.sort_array(F.collect_list("duration_ns")).alias("_values")
+    minutes = grouped.agg(count, errors, total, held).select(
         "tenant_id", "service", "env", minute, "requests", "errors",
-        *[F.col("_q")[i].alias(n) for i, n in enumerate(QUANTILES)],
-        (F.col("total_ns") / F.col("requests")).alias("avg_ns"))
-
-
-__all__ = ["KEYS", "stream_span_stats"]
+        (F.col("total_ns") / F.col("requests")).alias("avg_ns"), "_values")
+    return minutes.select("*", *[F.expr(sorted_quantile("_values", q, n))
+                                 for n, q in QUANTILES.items()]).drop("_values")

@@ -56,32 +56,31 @@ def listed(df):
     return sorted((r.name, r.type, r.value, len(r.attrs_keys)) for r in df.collect())
 
 
-def test_rules_by_literals_and_by_join(logs, rules):
-    assert listed(RU.apply_rules(logs, rules)) == WANT
-    assert listed(RU.apply_rules(logs, rules, literal_rules=0)) == WANT
-
-
-def test_rules_join_with_many_keywords(logs, rules, monkeypatch):
-    monkeypatch.setattr(RU, "KEYWORD_LIMIT", 0)
-    assert listed(RU.apply_joined(logs, rules)) == WANT
+@pytest.mark.parametrize("beside", [0, 1, 64, 65, 20_000])
+def test_rules_whatever_their_number(spark, logs, rules, beside):
+    more = spark.range(beside).select(
+        F.lit("default").alias("tenant_id"), F.lit("idle").alias("metric_name"),
+        F.lit("keyword").alias("filter_type"), F.concat(F.lit("idle"), "id").alias("filter_value"),
+        F.lit("").alias("value_field"), F.lit(True).alias("enabled"))
+    assert listed(RU.apply_rules(logs, rules.select(more.columns).unionByName(more))) == WANT
+
+
+def test_rules_on_odd_rows(spark, logs):
+    odd = logs.limit(1).select(*[F.lit(None).cast("string").alias("body") if c == "body"
+                                 else F.lit("ERROR").alias(c) if c == "severity_text" else F.col(c)
+                                 for c in logs.columns])
+    some = rules_of(spark, rule("none", "keyword", ""), rule("sev", "severity", "ERROR"),
+                    rule("kw", "keyword", "error"), rule("re", "body_regex", "zzz"),
+                    rule("re_all", "body_regex", ".*"))
+    assert [r[0] for r in listed(RU.apply_rules(odd, some))] == ["sev"]
+    ends = logs.limit(1).withColumn("body", F.lit("-error-"))
+    assert "none" not in [r[0] for r in listed(RU.apply_rules(ends, some))]
 
 
 def test_no_rules_and_unknown_type(spark, logs, rules):
     assert RU.apply_rules(logs, rules.where(F.lit(False))).count() == 0
-    bad = rules_of(spark, rule("x", "magic", "y"))
-    with pytest.raises(ValueError):
-        RU.apply_rules(logs, bad)
     with pytest.raises(Exception, match="unknown filter type"):
-        RU.apply_joined(logs, bad).collect()
-
-
-def test_equality_rules_reach_the_scan(spark, logs, tmp_path):
-    logs.write.parquet(str(tmp_path / "logs"))
-    stored = spark.read.schema(LOGS).parquet(str(tmp_path / "logs"))
-    only = rules_of(spark, rule("a", "severity", "ERROR"), rule("b", "service", "pay"))
-    plan = RU.apply_rules(stored, only)._jdf.queryExecution().toString()
-    assert "Or(EqualTo(severity_text,ERROR),EqualTo(service,pay))" in plan
-    assert "body" not in plan[plan.index("ReadSchema"):]
+        RU.apply_rules(logs, rules_of(spark, rule("x", "magic", "y"))).collect()
 
 
 def test_stream_rules_and_tail(spark, logs, rules, tmp_path):

@@ -68,6 +68,12 @@ def test_statsd_packet_resource(spark):
 
 @pytest.mark.parametrize("value, want", [
     ({"stringValue": "x"}, "x"), ({"boolValue": True}, "true"), ({"intValue": "12"}, "12"),
+    ({"doubleValue": 1e-40}, "0." + "0" * 39 + "1"), ({"doubleValue": 1e30}, "1" + "0" * 30),
+    ({"doubleValue": 1.2345678901234567e-30}, "0." + "0" * 29 + "12345678901234567"),
+    ({"doubleValue": -1.5e20}, "-15" + "0" * 19), ({"doubleValue": 123456789.125}, "123456789.125"),
+    ({"arrayValue": {"values": [{"arrayValue": {"values": [{"arrayValue": {"values": [
+        {"stringValue": "deep"}, {"intValue": "7"}]}}]}}]}},
+     '[[{"values":[{"stringValue":"deep"},{"intValue":"7"}]}]]'),
     ({"doubleValue": 5.0}, "5"), ({"doubleValue": 0.25}, "0.25"),
     ({"doubleValue": 1e16}, "10000000000000000"), ({"doubleValue": 12345678.5}, "12345678.5"),
     ({"doubleValue": 0.00001}, "0.00001"), ({"doubleValue": -2.0}, "-2"),

@@ -52,8 +52,14 @@ def log_metric_rules_apply(spark, sf):
 
 @query("log_metric_rules_join", RULES_SQL, ("logs", "rules"))
 def log_metric_rules_join(spark, sf):
-    """The same through the join that takes over beyond a few dozen rules."""
-    return rule_totals(RU.apply_joined(V.logs(spark, sf), rules(spark, sf)))
+    """The same with many more rules beside, one keyword per order, which no log holds."""
+    idle = V.table(spark, sf, "orders").select(
+        F.lit("default").alias("tenant_id"), F.lit("idle").alias("metric_name"),
+        F.lit("keyword").alias("filter_type"), F.lit(True).alias("enabled"),
+        F.concat(F.lit("order0"), F.col("o_orderkey").cast("string")).alias("filter_value"),
+        F.lit("").alias("value_field"))
+    many = rules(spark, sf).select(idle.columns).unionByName(idle)
+    return rule_totals(RU.apply_rules(V.logs(spark, sf), many))
 
 
 @query("rule_filter", f"""SELECT span_id, severity_text, service FROM logs WHERE
@@ -305,10 +311,12 @@ def flame_offsets(spark, sf):
 @query("trace_log_correlation", """SELECT l.trace_id, l.span_id, l.severity_text,
     epoch_us(l.timestamp) // 1000 AS t, s.name AS span_name, s.service AS span_service,
     s.duration_ns, s.status_code, length(l.body) AS chars
-  FROM logs l JOIN spans s ON s.trace_id = l.trace_id AND s.span_id = l.span_id
+  FROM logs l LEFT JOIN (SELECT * FROM spans WHERE kind <> 3) s
+    ON s.trace_id = l.trace_id AND s.span_id = l.span_id
   WHERE NOT regexp_full_match(l.trace_id, '0*')""", ("spans", "logs"))
 def trace_log_correlation(spark, sf):
-    return C.correlate_logs(V.spans(spark, sf), V.logs(spark, sf)).select(
+    """Spans of one kind are not stored; their logs stay."""
+    return C.correlate_logs(V.spans(spark, sf).where("kind <> 3"), V.logs(spark, sf)).select(
         "trace_id", "span_id", "severity_text", F.unix_millis("timestamp").alias("t"),
         "span_name", "span_service", "duration_ns", "status_code",
         F.length("body").alias("chars"))
