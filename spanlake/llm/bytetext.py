@@ -20,13 +20,15 @@ _WORD_STEP = 0xD6E8FEB86659FD93
 CHUNK_BYTES = 1 << 20
 
 
-#: Rows that go to a Python worker at once: whole texts are large, and a worker holds a batch twice.
-BATCH_ROWS = 1000
+#: Rows and bytes that go to a Python worker at once: whole texts are large, and a worker holds a
+#: batch twice.  A longer row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """Have Spark send BATCH_ROWS rows at once to workers from now on."""
+    """Have Spark send at most BATCH_ROWS rows or BATCH_BYTES bytes at once from now on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
