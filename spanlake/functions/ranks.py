@@ -104,12 +104,12 @@ def select_ranks(
         .select(*keys, "_value", "_n", *sums, F.expr(f"explode({held}) AS _rank")))
 
 
-def _position(q: float) -> str:
+def position(q: float) -> str:
     """SQL of the fractional rank of a quantile among ``_n`` values."""
     return f"({q!r}D * (_n - 1))"
 
 
-def _between(low: str, high: str, at: str, name: str) -> str:
+def between(low: str, high: str, at: str, name: str) -> str:
     """SQL of the linear interpolation between two neighbours; the same on both paths."""
     return (f"CAST({low} AS DOUBLE) + (CAST({high} AS DOUBLE) - CAST({low} AS DOUBLE)) * "
             f"({at} - floor({at})) AS `{name}`")
@@ -125,7 +125,7 @@ def banded_quantiles(
 ) -> DataFrame:
     """Quantiles by rank selection, for groups of any size; see :func:`exact_quantiles`."""
     keys, sums = list(keys), dict(sums or {})
-    at = {name: _position(q) for name, q in quantiles.items()}
+    at = {name: position(q) for name, q in quantiles.items()}
     ends = ", ".join(f"floor({p}), ceil({p})" for p in at.values())
     found = select_ranks(df, value, f"array({ends})", keys, sums)
     picks = [
@@ -133,15 +133,15 @@ def banded_quantiles(
         for name, p in at.items() for end in ("floor", "ceil")]
     one = found.groupBy(*keys).agg(
         F.expr("max(_n) AS _n"), *[F.expr(f"max(`{n}`) AS `{n}`") for n in sums], *picks)
-    between = [_between(f"`_floor_{n}`", f"`_ceil_{n}`", p, n) for n, p in at.items()]
-    return one.selectExpr(*keys, f"coalesce(_n, 0L) AS `{count}`", *sums, *between)
+    columns = [between(f"`_floor_{n}`", f"`_ceil_{n}`", p, n) for n, p in at.items()]
+    return one.selectExpr(*keys, f"coalesce(_n, 0L) AS `{count}`", *sums, *columns)
 
 
 def sorted_quantile(values: str, q: float, name: str) -> str:
     """SQL of a quantile of a sorted array column without nulls."""
     at = f"({q!r}D * (size({values}) - 1))"
     low, high = (f"get({values}, CAST({end}({at}) AS INT))" for end in ("floor", "ceil"))
-    return _between(low, high, at, name)
+    return between(low, high, at, name)
 
 
 def _buffered_quantiles(df: DataFrame, value: str, quantiles: Mapping[str, float],

@@ -135,6 +135,27 @@ def test_no_data_still_evaluates(spark, make_spans, logs):
     assert got["low", 0] == (0.0, True) and got["tail", 0] == (None, False)
 
 
+def test_tails_of_overlapping_windows(spark, make_spans, logs):
+    """Windows of half a minute and an hour every ten seconds against sorted lists."""
+    rng = random.Random(5)
+    rows = [(rng.random() * 20, rng.choice("ab"), int(10 ** rng.uniform(0, 10)), 1) for _ in range(600)]
+    rows += [(3, "a", 7_000_000, 1)] * 40 + [(4, "b", 0, 1), (4, "b", 0, 1)]
+    spans = make_spans(rows)
+    own = [monitor(f"{s}{w}", "p99", "gt", 5, service=s, window=w, interval=10)
+           for s in "abc" for w in (30, 3600)]
+    got = evaluated(spark, spans, logs, *own, minutes=22)
+    assert len(got) == 6 * 132
+    for (name, tick), (value, _) in got.items():
+        held = sorted(d for m, s, d, _ in rows if s == name[0]
+                      and tick - int(name[1:]) <= int(m * 60 + 1e-9) < tick)
+        if not held:
+            assert value is None
+            continue
+        at = 0.99 * (len(held) - 1)
+        low, high = held[int(at)], held[min(int(at) + 1, len(held) - 1)]
+        assert value == pytest.approx((low + (high - low) * (at - int(at))) / 1e6, rel=1e-9, abs=1e-12)
+
+
 def test_interval_is_rounded_up_to_the_poll(spark):
     monitors = spark.createDataFrame([monitor("m", "count", "gt", 0, interval=45)], MONITORS)
     ticks = [r.tick for r in MO.due_ticks(monitors, T0, T0 + timedelta(minutes=2)).collect()]

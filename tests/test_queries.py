@@ -1,10 +1,11 @@
-"""Every registered query against its SQL in DuckDB, and the driver's entry point."""
+"""Every query of the engine's operators against its SQL in DuckDB, and the driver's entry point."""
 
 import pytest
 from check_sql import connect, differences
 
 import __spark_entry__ as entry_module
 from conftest import SF_DIR
+from workload.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -12,7 +13,7 @@ def duck():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, name):
     frame = entry_module.queries()[name](spark, SF_DIR)
     plan = frame._jdf.queryExecution().executedPlan().toString()
