@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.codes import LOG_ERROR_FLOOR, is_error, violated
 from ..functions.ranks import between, log_band, position, with_known_size
 from ..functions.times import in_range, instant
+from ..session import cut_lineage
 
 #: Seconds between two looks at the monitor list.
 POLL_SECONDS = 10
@@ -98,6 +99,9 @@ def _tails(seen: DataFrame, plan: DataFrame, q: float = 0.99) -> DataFrame:
                          f"sum(_cnt) OVER ({window} ORDER BY _band) - _cnt AS _before")
         .withColumn("_upto", F.expr("_before + _cnt"))
         .where(f"size({held}) > 0").select(*_TICK, "_band", "_before", "_n"))
+    # Stored, so that the first pass runs once and the second is planned by the marks' real size:
+    # few marks reach the spans without moving them.
+    marks = cut_lineage(marks, "tail-marks")
     marked = (marks.join(plan.select(*service, "monitor_id"), ["tenant_id", "monitor_id"])
               .select(*service, "_band").distinct())
     single = (timed.join(marked, [*service, "_band"], "left_semi")
@@ -120,7 +124,7 @@ def monitor_values(monitors: DataFrame, spans: DataFrame, logs: DataFrame, start
                    poll: int = POLL_SECONDS) -> DataFrame:
     """Value of every enabled monitor at every tick, also where no row matched.
 
-    Runs a small job over the monitors.  Spans are first reduced to one row per service and
+    Runs a small job over the monitors and the first pass of the p99 windows.  Spans are first reduced to one row per service and
     second (and duration band, for p99), so a service with a third of all rows costs the join no
     more than any other; only those cells meet the monitors.  error_rate and counts are 0
     without data, avg and p99 null.  Ticks and windows are whole seconds.
