@@ -26,7 +26,7 @@ from .bytetext import CHUNK_BYTES, chunks, column_bytes, worker_cache
 END_ID = 2
 #: Pieces kept per Python worker with their ids, in each of two generations; longer ones are not kept.
 CACHED_PIECES, CACHED_CHARS = 200_000, 40
-#: Pieces of letters that one call of the tokenizer gets.
+#: Words that one call of the tokenizer gets.
 LINE = 256
 _MARKS = string.punctuation
 ROWS_AT_ONCE, CHARS_AT_ONCE = 1000, 2_000_000
@@ -41,27 +41,57 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         cache.path, cache.young, cache.old = path, {}, {}
+        cache.letters, cache.others = set(), set()
         cache.tokenizer = Tokenizer.from_file(path)
     return cache.tokenizer, cache
 
 
-def _encode_pieces(tokenizer, pieces: list[str], found: dict[str, bytes]) -> None:
+def _one_letter(tokenizer, char: str) -> bool:
+    """Whether the tokenizer's folding and cutting leave ``char`` within one word of letters."""
+    folded = tokenizer.normalizer.normalize_str(f"a{char}a")
+    return len(tokenizer.pre_tokenizer.pre_tokenize_str(folded)) == 1
+
+
+def _is_word(piece: str, tokenizer, cache) -> bool:
+    """Whether the tokenizer takes ``piece`` as one word of letters, also beside ASCII marks.
+
+    Some letters fold to several characters of which one is no letter, and the tokenizer's letters
+    need not be Python's: each character outside ASCII is asked for once per worker.
+    """
+    if not piece.isalpha():
+        return False
+    if piece.isascii() or cache.letters.issuperset(piece):
+        return True
+    fresh = set(piece) - cache.letters
+    if not cache.others.isdisjoint(fresh):
+        return False
+    good = {c for c in fresh if c.isascii() or _one_letter(tokenizer, c)}
+    cache.letters |= good
+    cache.others |= fresh - good
+    return good == fresh
+
+
+def _encode_pieces(tokenizer, cache, pieces: list[str], found: dict[str, bytes]) -> None:
     """Ids (little-endian 32-bit) of the pieces, by the tokenizer.
 
-    A piece of letters is one word to the tokenizer, so many go in one line and its word numbers
-    tell them apart; any other piece goes alone.
+    Pieces that are one word each go in one line, whose word numbers tell them apart; a line
+    with another number of words than pieces, and any other piece, is encoded piece by piece.
     """
-    words = [p for p in pieces if p.isalpha()]
+    words, rest = [], []
+    for piece in pieces:
+        (words if _is_word(piece, tokenizer, cache) else rest).append(piece)
     for low in range(0, len(words), 100 * LINE):
         some = words[low:low + 100 * LINE]
         lines = [some[k:k + LINE] for k in range(0, len(some), LINE)]
         coded = tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False)
         for line, got in zip(lines, coded):
+            numbers = np.array(got.word_ids)
+            if len(numbers) == 0 or numbers[-1] + 1 != len(line):
+                rest += line
+                continue
             raw = np.array(got.ids, "<u4").tobytes()
-            at = np.searchsorted(np.array(got.word_ids), np.arange(len(line) + 1)) * 4
-            for k, (x, y) in enumerate(zip(at.tolist(), at[1:].tolist())):
-                found[line[k]] = raw[x:y]
-    rest = [p for p in pieces if not p.isalpha()]
+            at = (np.searchsorted(numbers, np.arange(len(line) + 1)) * 4).tolist()
+            found.update(zip(line, [raw[x:y] for x, y in zip(at, at[1:])]))
     for low in range(0, len(rest), 20_000):
         some = rest[low:low + 20_000]
         for piece, got in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
@@ -81,7 +111,7 @@ def _piece_ids(path: str, pieces: set[str]) -> dict[str, bytes]:
             young[piece] = ids
             continue
         letters = piece.rstrip(_MARKS)
-        if len(letters) == len(piece) or not letters.isalpha():
+        if len(letters) == len(piece) or not _is_word(letters, tokenizer, cache):
             fresh.add(piece)
             continue
         ended.append((piece, letters, piece[len(letters):]))  # two words to the tokenizer
@@ -92,7 +122,7 @@ def _piece_ids(path: str, pieces: set[str]) -> dict[str, bytes]:
                 else:
                     fresh.add(part)
     long = [p for p in fresh if len(p) > CACHED_CHARS]
-    _encode_pieces(tokenizer, list(fresh), young)
+    _encode_pieces(tokenizer, cache, list(fresh), young)
     for piece, letters, marks in ended:
         young[piece] = young[letters] + young[marks]
     long += [p for p, _, _ in ended if len(p) > CACHED_CHARS]
@@ -129,9 +159,17 @@ def _id_runs(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[lis
 
 
 def _split(text: str) -> list[str]:
-    """Pieces between spaces, in lower case where that is what the vocabulary's own folding does."""
-    if text.isascii() or not ("\u03a3" in text or "\u0130" in text) and unicodedata.is_normalized("NFC", text):
+    """Pieces between spaces, in lower case where that is what the vocabulary's own folding does.
+
+    The vocabulary composes characters first and folds case afterwards, letter by letter: texts
+    that folding would compose anew, or fold by context, keep their case.
+    """
+    if text.isascii():
         text = text.lower()
+    elif not ("\u03a3" in text or "\u0130" in text) and unicodedata.is_normalized("NFC", text):
+        folded = text.lower()
+        if unicodedata.is_normalized("NFC", folded):
+            text = folded
     return text.replace("\n", " ").split(" ")
 
 

@@ -1,3 +1,4 @@
+import sys
 import zlib
 
 import numpy as np
@@ -22,8 +23,37 @@ def test_pieces_equal_whole_texts():
         assert np.frombuffer(got, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(max_size=60))
+def _all_letters():
+    """Every character that is a letter to Python, in words of eight with their upper case."""
+    chars = [chr(c) for c in range(sys.maxunicode + 1) if chr(c).isalpha()]
+    words = ["".join(chars[k:k + 8]) for k in range(0, len(chars), 8)]
+    return words + [w.upper() for w in words]
+
+
+def test_every_letter_beside_plain_words():
+    words = _all_letters()
+    odd = [c for c in map(chr, range(0x3000)) if c.isalpha() and len(c.lower()) > 1 or len(c.upper()) > 1]
+    texts = [" ".join(words[k:k + 50]) + " plain words" for k in range(0, len(words), 50)]
+    texts += [f"a{c}b {c} plain {c}. {c.upper()}x J\u030c H\u0331" for c in odd]
+    for text, got in zip(texts, tokenfiles.encode_texts(PATH, texts)):
+        assert np.frombuffer(got, "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids, text
+
+
+def test_one_odd_text_leaves_the_others_alone():
+    texts = [f"plain english words number {w} here" for w in "one two three four five six seven eight".split()]
+    want = [WHOLE.encode(t, add_special_tokens=False).ids for t in texts]
+    for batch in ([*texts, "\u0130stanbul g\u00fczel"], texts):
+        got = tokenfiles.encode_texts(PATH, batch)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got[:8]] == want
+
+
+LETTERS = st.characters(categories=["Lu", "Ll", "Lt", "Lm", "Lo", "Mn"])
+MIXED = st.one_of(st.text(max_size=60), st.text(LETTERS, max_size=60),
+                  st.text(st.sampled_from("\u0130I\u0307\u03a3\u03c2J\u030cH\u0331\u00df\u1e9e\ufb01\u01c5\u0149ab .'!\n"), max_size=40))
+
+
+@settings(max_examples=400, deadline=None)
+@given(MIXED)
 def test_pieces_equal_any_text(text):
     text = text.encode("utf-8", "ignore").decode()
     got = tokenfiles.encode_texts(PATH, [text])[0]
