@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanlake.session import configure
 
-from . import (chat, decontaminate, language, licenses, mixing, neardup, quality, repeats,
+from . import (chat, decontaminate, dialogues, language, licenses, mixing, neardup, quality, repeats,
                tokenfiles, vectors)
 from .bytetext import small_batches
 from .registry import query
@@ -111,3 +111,8 @@ FROM v JOIN least_root ON node = vec_id LEFT JOIN degree ON a = vec_id
 @query("op1_near_vectors", OP1_SQL)
 def op1_near_vectors(spark, sf):
     return vectors.near_vectors(table(spark, sf, "embeddings"))
+
+
+@query("op13_repaired_dialogues", dialogues.REPAIRS_SQL)
+def op13_repaired_dialogues(spark, sf):
+    return dialogues.repairs_table(table(spark, sf, "conversations"))
