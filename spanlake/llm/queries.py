@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spanlake.session import configure
 
 from . import (chat, decontaminate, dialogues, language, licenses, mixing, neardup, quality, repeats,
-               tokenfiles, vectors)
+               tokenfiles, trie, vectors)
 from .bytetext import small_batches
 from .registry import query
 
@@ -116,3 +116,8 @@ def op1_near_vectors(spark, sf):
 @query("op13_repaired_dialogues", dialogues.REPAIRS_SQL)
 def op13_repaired_dialogues(spark, sf):
     return dialogues.repairs_table(table(spark, sf, "conversations"))
+
+
+@query("op11_conversation_trie", trie.TRIE_SQL)
+def op11_conversation_trie(spark, sf):
+    return trie.trie_table(table(spark, sf, "conversations"))
