@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanlake.session import configure
 
-from . import (chat, decontaminate, dialogues, language, licenses, mixing, neardup, quality, repeats,
+from . import (chat, decontaminate, dialogues, language, licenses, mixing, neardup, pagetext, quality, repeats,
                tokenfiles, trie, vectors)
 from .bytetext import small_batches
 from .registry import query
@@ -121,3 +121,8 @@ def op13_repaired_dialogues(spark, sf):
 @query("op11_conversation_trie", trie.TRIE_SQL)
 def op11_conversation_trie(spark, sf):
     return trie.trie_table(table(spark, sf, "conversations"))
+
+
+@query("op12_page_text")
+def op12_page_text(spark, sf):
+    return pagetext.pages_table(table(spark, sf, "pages"))
