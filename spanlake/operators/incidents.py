@@ -24,8 +24,8 @@ SYMBOLS = {"CRITICAL": ":red_circle:", "WARNING": ":large_yellow_circle:",
 def as_events(evaluations: DataFrame, actions: DataFrame | None = None) -> DataFrame:
     """One time line (at, step, kind, value) of evaluations and actions.
 
-    Kinds: violation, normal, acknowledge, resolve.  At equal times an evaluation precedes an
-    action.
+    Kinds: violation, normal, acknowledge, resolve.  At equal times evaluations precede actions,
+    and within either the kinds go by name, so an acknowledgement precedes a resolution.
     """
     events = evaluations.select(
         *KEY, F.col("tick").alias("at"), F.lit(0).alias("step"),
@@ -37,6 +37,10 @@ def as_events(evaluations: DataFrame, actions: DataFrame | None = None) -> DataF
         F.lit(None).cast("double").alias("value")))
 
 
+#: Total order of a monitor's events; what is equal in all of it has the same effect.
+ORDER = ["at", "step", "kind", "value"]
+
+
 def incident_id(triggered_at: Column) -> Column:
     return natural_id(F.col("tenant_id"), F.col("monitor_id"), F.unix_micros(triggered_at))
 
@@ -49,11 +53,11 @@ def _history(events: DataFrame) -> DataFrame:
     that found a violation, and otherwise open as long as the last evaluation violated.  The
     windows hold one monitor's evaluations (interval-paced), not telemetry rows.
     """
-    line = W.partitionBy(*KEY).orderBy("at", "step")
+    line = W.partitionBy(*KEY).orderBy(*ORDER)
     is_eval = F.col("kind").isin("violation", "normal")
     stretch = F.coalesce(F.sum(F.when(F.col("kind") == "resolve", 1).otherwise(0)).over(
         line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    inside = W.partitionBy(*KEY, "_stretch").orderBy("at", "step")
+    inside = W.partitionBy(*KEY, "_stretch").orderBy(*ORDER)
     running = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     bad = F.coalesce(F.last(F.when(is_eval, F.col("kind") == "violation"),
                             ignorenulls=True).over(running), F.lit(False))
@@ -90,7 +94,7 @@ def incident_spans(events: DataFrame) -> DataFrame:
 def action_outcomes(evaluations: DataFrame, actions: DataFrame) -> DataFrame:
     """Actions with the verdict 'applied' or 'conflict'."""
     rows = _history(as_events(evaluations, actions))
-    line = W.partitionBy(*KEY).orderBy("at", "step")
+    line = W.partitionBy(*KEY).orderBy(*ORDER)
     was_acked = F.coalesce(F.lag("_acked").over(line), F.lit(False))
     done = F.when(F.col("kind") == "resolve", F.col("_was_open")).otherwise(
         F.col("_was_open") & ~F.col("_acked_before"))
@@ -125,8 +129,10 @@ def incident_list(incidents: DataFrame, tenant_id: str | None = None,
     return incidents.withColumn("total", incidents.agg(F.count(F.lit(1)).alias("n")).scalar())
 
 
-def incident_message(incidents: DataFrame, footer: str = "spanlake") -> DataFrame:
-    """Notification payload (JSON) per incident; sending it is left to the caller."""
+def incident_message(incidents: DataFrame, footer: str = "spanlake",
+                     keep: tuple[str, ...] = ()) -> DataFrame:
+    """Notification payload (JSON) per incident, beside the columns to ``keep``; sending it is left
+    to the caller."""
     pick = lambda table: F.element_at(
         F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col("severity"))
 
@@ -142,5 +148,5 @@ def incident_message(incidents: DataFrame, footer: str = "spanlake") -> DataFram
                 field("Incident ID", F.col("incident_id"), False)).alias("fields"),
         F.lit(footer).alias("footer"), F.unix_seconds("triggered_at").alias("ts"))
     text = F.concat(pick(SYMBOLS), F.lit(" ["), F.col("severity"), F.lit("] "), F.col("title"))
-    return incidents.select("incident_id", F.to_json(F.struct(
+    return incidents.select("incident_id", *keep, F.to_json(F.struct(
         text.alias("text"), F.array(attachment).alias("attachments"))).alias("message"))

@@ -36,23 +36,69 @@ def checked_type() -> Column:
         F.raise_error(F.concat(F.lit("unknown filter type: "), kind)))
 
 
+#: Bits of the word filter, in numbers of 64; and the words up to which a set of them is quicker.
+FILTER_CELLS, FEW_WORDS = 1 << 14, 64
+
+
+def _literals(regex: Column) -> Column:
+    """Texts that stand in every match of a regular expression; none where that is hard to tell.
+
+    Classes, dots, anchors and whatever a quantifier lets go are gaps between the texts.  An expression
+    with groups, alternatives or escapes gives none.
+    """
+    quantifier = r"(?:[*+?]|\{[^}]*\})[+?]?"
+    gaps = F.regexp_replace(regex, rf"\[\^?[^\[\]&]+\](?:{quantifier})?", "\n")
+    gaps = F.regexp_replace(gaps, rf".{quantifier}|[.^$\n]", "\n")
+    plain = ~regex.rlike(r"[|()\\\n]|&&") & ~gaps.rlike(r"[\[\]{}*+?]")
+    return F.when(plain, F.filter(F.split(gaps, "\n"), lambda t: t != "")).otherwise(F.array().cast("array<string>"))
+
+
 def _patterns(rules: DataFrame) -> Column:
-    """Distinct (tenant, regex) pairs of the enabled rules as one array; a scalar subquery."""
+    """Distinct regexes of the enabled rules with their tenant and literals, as one array."""
+    regex = F.col("filter_value")
     wanted = rules.where("enabled AND filter_type = 'body_regex'").select(
-        "tenant_id", F.col("filter_value").alias("regex")).distinct()
-    return wanted.agg(F.collect_list(F.struct("tenant_id", "regex")).alias("patterns")).scalar()
+        "tenant_id", regex.alias("regex"), _literals(regex).alias("literals")).distinct()
+    return wanted.agg(F.collect_list(F.struct("tenant_id", "regex", "literals"))).scalar()
+
+
+def _cell(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseAND(F.lit(FILTER_CELLS - 1)).cast("int")
+
+
+def _bit(word: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(word), 32).bitwiseAND(F.lit(63)).cast("int")
+
+
+def _keywords(rules: DataFrame) -> tuple[Column, Column]:
+    """The words that rules look for: all of them if there are few, and a filter over their hashes."""
+    wanted = rules.where("enabled AND filter_type = 'keyword'").select(F.col("filter_value").alias("w")).distinct()
+    few = wanted.limit(FEW_WORDS + 1).agg(F.collect_list("w")).scalar()
+    cells = wanted.select(_cell(F.col("w")).alias("id"), F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.col("w")))
+                          .alias("bit")).groupBy("id").agg(F.bit_or("bit").alias("bits"))
+    every = rules.sparkSession.range(FILTER_CELLS).join(cells, "id", "left").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))),
+                    lambda c: c["bits"]))
+    return few, every.scalar()
 
 
 def _probes() -> Column:
-    """What a log can match: its severity, its service, its distinct words, and those of the
-    ``_patterns`` of its tenant that its body matches, each tested once however many rules share
-    it."""
-    body = F.coalesce("body", F.lit(""))
-    found = F.filter(F.array_distinct(words(body)), lambda w: w != "")
+    """What a log can match: its severity, its service, those of its distinct words that some rule may look
+    for, and those of the ``_patterns`` of its tenant that its body matches, each tested once however many
+    rules share it.
+
+    Few rule words are one set that the log's words are intersected with.  Of many, a bit per hash tells a
+    word that no rule has, at the same price for any number of rules; the join sorts out the rest.
+    """
+    found = words(F.coalesce("body", F.lit("")))
+    maybe = F.filter(found, lambda w: F.call_function("getbit", F.get("_cells", _cell(w)), _bit(w)) == 1)
+    known = (F.when(F.size("_few") == 0, F.array().cast("array<string>"))
+             .when(F.size("_few") <= FEW_WORDS, F.array_intersect(found, F.col("_few")))
+             .otherwise(F.array_distinct(maybe)))
     hits = F.filter("_patterns", lambda p: (p["tenant_id"] == F.col("tenant_id"))
+                    & F.forall(p["literals"], lambda t: F.contains(F.col("body"), t))
                     & F.coalesce(F.call_function("rlike", F.col("body"), p["regex"]), F.lit(False)))
     return F.concat(F.array(F.concat(F.lit("severity:"), "severity_text"),
-                            F.concat(F.lit("service:"), "service")), found,
+                            F.concat(F.lit("service:"), "service")), known,
                     F.transform(hits, lambda p: F.concat(F.lit("body_regex:"), p["regex"])))
 
 
@@ -74,7 +120,8 @@ def apply_rules(logs: DataFrame, rules: DataFrame) -> DataFrame:
     keyed = rules.where("enabled").select(
         F.col("tenant_id").alias("_tenant"), "metric_name", _rule_key().alias("_key"),
         F.coalesce("value_field", F.lit("")).alias("value_field"))
-    probed = logs.withColumn("_patterns", _patterns(rules)).select(
+    few, cells = _keywords(rules)
+    probed = logs.withColumn("_patterns", _patterns(rules)).withColumn("_few", few).withColumn("_cells", cells).select(
         "tenant_id", "timestamp", "service", "env", "attrs_keys", "attrs_values",
         F.explode(_probes()).alias("_probe"))
     field = F.col("value_field")

@@ -213,30 +213,102 @@ def test_titles_list_and_message(spark):
     assert '"color":"#FF0000"' in message and '"value":"ACKNOWLEDGED"' in message
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rng = random.Random(11)
+def random_line(spark, seed=11, monitors=6, events=120):
+    """Evaluations and actions of several monitors, many at equal times."""
+    rng = random.Random(seed)
     evals, acts = [], []
-    for m in range(6):
-        for i in range(120):
-            c = rng.choice("VVNNAR")
+    for m in range(monitors):
+        for _ in range(events):
+            c, i = rng.choice("VVNNAR"), rng.randrange(80)
             if c in "VN":
                 evals.append(("default", f"m{m}", at(i), rng.random(), c == "V"))
             else:
                 acts.append(("default", f"m{m}", at(i), {"A": "acknowledge", "R": "resolve"}[c]))
-    line = I.as_events(spark.createDataFrame(evals, EVAL), spark.createDataFrame(acts, ACT))
-    # Three files by time, one per micro-batch, so state is carried across batches.
-    for part, (low, high) in enumerate(((0, 40), (40, 80), (80, 120))):
-        piece = line.where((F.col("at") >= F.lit(at(low))) & (F.col("at") < F.lit(at(high))))
+    return I.as_events(spark.createDataFrame(evals, EVAL), spark.createDataFrame(acts, ACT))
+
+
+def plain_incidents(events):
+    """(monitor, status, triggered, resolved, value) by folding the sorted events one by one."""
+    out, now = [], {}
+    key = lambda e: (e.at, e.step, e.kind, e.value is not None, e.value or 0.0)
+    for e in sorted(events, key=key):
+        found = now.get(e.monitor_id)
+        if found is None and e.kind == "violation":
+            now[e.monitor_id] = ["triggered", e.at, e.value]
+        elif found and (e.kind == "resolve" or (e.kind, found[0]) == ("normal", "triggered")):
+            out.append((e.monitor_id, "resolved", found[1], e.at, found[2]))
+            del now[e.monitor_id]
+        elif found and e.kind == "acknowledge":
+            found[0] = "acknowledged"
+    return sorted(out + [(m, s, t, None, v) for m, (s, t, v) in now.items()], key=str)
+
+
+def listed_incidents(df):
+    return sorted(((r.monitor_id, r.status, r.triggered_at, r.resolved_at, r.trigger_value)
+                   for r in df.collect()), key=str)
+
+
+def test_batch_with_equal_times_equals_a_fold(spark):
+    line = random_line(spark).cache()
+    want = plain_incidents(line.collect())
+    assert len(want) > 50 and listed_incidents(I.incident_spans(line)) == want
+
+
+def clock(line, minutes):
+    return line.limit(1).select(
+        F.lit("").alias("tenant_id"), F.lit("").alias("monitor_id"), F.lit(at(minutes)).alias("at"),
+        F.lit(0).alias("step"), F.lit("clock").alias("kind"), F.lit(None).cast("double").alias("value"))
+
+
+def run_incidents(spark, root, schema, delay):
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"))
+    run = (incidents_stream(stream, delay).writeStream.format("parquet").option("path", f"{root}/out")
+           .option("checkpointLocation", f"{root}/c").outputMode("append").trigger(availableNow=True).start())
+    run.awaitTermination()
+    return run
+
+
+def test_stream_out_of_order_equals_batch(spark, tmp_path):
+    """Events dealt at random over files within the delay, in two runs that share a checkpoint."""
+    line = random_line(spark).cache()
+    pieces = line.randomSplit([1.0, 1.0, 1.0], 5)
+    for k, piece in enumerate((*pieces, clock(line, 300))):
         piece.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = (spark.readStream.schema(line.schema).option("maxFilesPerTrigger", 1)
-                  .parquet(str(tmp_path / "in")))
-        run = (incidents_stream(stream).writeStream.format("parquet")
-               .option("path", str(tmp_path / "out"))
-               .option("checkpointLocation", str(tmp_path / "c"))
-               .trigger(availableNow=True).start())
-        run.awaitTermination()
-        assert part < 3
+        if k in (1, 3):
+            run_incidents(spark, tmp_path, line.schema, "100 minutes")
     got = latest_status(spark.read.parquet(str(tmp_path / "out")))
     batch = I.incident_spans(line)
-    assert batch.count() > 50
     assert got.exceptAll(batch).count() == 0 and batch.exceptAll(got).count() == 0
+
+
+def test_stream_state_over_batches_and_late_rows(spark, tmp_path):
+    """Files by time, each folded before the next one comes; what lies behind the watermark counts for nothing."""
+    line = random_line(spark, 3).cache()
+    parts = [line.where((F.col("at") >= F.lit(at(low))) & (F.col("at") < F.lit(at(low + 20)))) for low in (0, 20, 40, 60)]
+    late = line.where(F.col("kind") == "resolve").limit(5).withColumn("at", F.lit(at(1)))
+    for part in (*parts[:3], late, parts[3], clock(line, 300)):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run_incidents(spark, tmp_path, line.schema, "1 minute")
+    got = latest_status(spark.read.parquet(str(tmp_path / "out")))
+    assert listed_incidents(got) == plain_incidents(line.collect())
+
+
+@pytest.mark.parametrize("regex, literals", [
+    ("th[ae]t?ou", ["th", "ou"]), ("[0-9]{3}-[0-9]{4}", ["-"]), ("E-[0-9]{4}$", ["E-"]), ("no+ne", ["n", "ne"]),
+    (".*", []), ("a|b", []), ("(ab)?c", []), (r"a\d", []), ("ab*?c", ["a", "c"]), ("^x{2,3}y", ["y"]), ("abc", ["abc"]),
+    ("[]a]b", []), ("[a&&b]c", []), ("[^ab]c", ["c"]), ("a[b-", []), ("", [])])
+def test_literals_stand_in_every_match(spark, regex, literals):
+    row = spark.range(1).select(RU._literals(F.lit(regex)).alias("got")).first()
+    assert row.got == literals
+
+
+def test_word_filter_loses_no_word(spark):
+    """Every rule word passes, few others do."""
+    rules = spark.range(20_000).select(
+        F.lit("default").alias("tenant_id"), F.concat(F.lit("w"), "id").alias("filter_value"),
+        F.lit("keyword").alias("filter_type"), F.lit(True).alias("enabled"))
+    few, cells = RU._keywords(rules)
+    seen = spark.range(40_000).select("id", F.concat(F.lit("w"), "id").alias("w")).withColumn("_cells", cells)
+    hit = F.call_function("getbit", F.get("_cells", RU._cell(F.col("w"))), RU._bit(F.col("w"))) == 1
+    got = seen.where(hit).agg(F.sum((F.col("id") < 20_000).cast("int")).alias("rules"), F.count("*").alias("all")).first()
+    assert got.rules == 20_000 and got["all"] < 22_000

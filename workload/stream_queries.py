@@ -9,7 +9,7 @@ from spanlake.operators.logs import log_entries
 from spanlake.session import run_dir
 from spanlake.sources import streams, tables
 from spanlake.schemas import SPANS
-from spanlake.streaming.incidents import incidents_stream, latest_status
+from spanlake.streaming.incidents import CLOCK, incidents_stream, latest_status
 from spanlake.streaming.ingest import stream_ingest
 from spanlake.streaming.logs import stream_live_tail, stream_log_metrics
 from spanlake.streaming.rollup import stream_span_stats
@@ -111,10 +111,14 @@ def stream_tail(spark, sf):
 
 @query("stream_incidents", AQ.INCIDENT_SQL, MONITOR_VIEWS)
 def stream_incident_changes(spark, sf):
-    """Evaluations and actions land as files; the stateful stream folds them per monitor."""
+    """Evaluations and actions land as files in an order of their own, dealt by a hash of each event;
+    the stateful stream takes one file a batch and folds them in event time."""
     root = run_dir(spark, "events")
     line = I.as_events(AQ.evaluations(spark, sf), AQ.known_actions(spark, sf))
-    line.write.parquet(f"{root}/in")
-    changes = incidents_stream(streams.table_stream(spark, f"{root}/in", line.schema))
-    return AQ.incident_view(latest_status(_stored(changes, "incidents")))
-
+    line.repartition(3, F.xxhash64("at", "kind")).write.parquet(f"{root}/in")
+    # The watermark has to pass the last events; this row comes in the last file.
+    after = spark.sql(f"""SELECT '' AS tenant_id, '' AS monitor_id, TIMESTAMP '{V.END}' + INTERVAL 60 DAY AS at,
+        0 AS step, '{CLOCK}' AS kind, CAST(NULL AS DOUBLE) AS value""")
+    after.select(line.columns).write.mode("append").parquet(f"{root}/in")
+    stream = streams.table_stream(spark, f"{root}/in", line.schema, files_per_trigger=1)
+    return AQ.incident_view(latest_status(_stored(incidents_stream(stream, "40 days"), "incidents")))

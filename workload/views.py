@@ -60,7 +60,10 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_rows(events: DataFrame, documents: DataFrame) -> DataFrame:
-    """Logs out of events, each with a whole document as its body."""
+    """Logs out of events, each with a whole document as its body.
+
+    The join shuffles, so the logs come in as many partitions as a stored table of this size would.
+    """
     number = documents.agg(F.count(F.lit(1)).alias("n")).scalar()
     rows = events.selectExpr(
         "'default' AS tenant_id", "ts AS timestamp",
@@ -74,7 +77,7 @@ def log_rows(events: DataFrame, documents: DataFrame) -> DataFrame:
         _SERVICE, _ENV, "array('duration_ms', 'event.type') AS attrs_keys",
         "array(CAST(value AS STRING), event_type) AS attrs_values", "event_id",
     ).withColumn("doc_id", F.col("event_id") % number).drop("event_id")
-    bodies = documents.select("doc_id", F.col("text").alias("body"))
+    bodies = documents.select("doc_id", F.col("text").alias("body")).hint("shuffle_hash")
     return rows.join(bodies, "doc_id").drop("doc_id")
 
 
