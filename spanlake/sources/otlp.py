@@ -59,6 +59,9 @@ METRICS = _request("resourceMetrics", "scopeMetrics", "metrics", _METRIC)
 
 
 def _parsed(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    """Messages with their parsed form ``_req``; messages that have it are not parsed again."""
+    if "_req" in raw.columns:
+        return raw
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     return raw.withColumn("_req", F.from_json("value", schema, options))
 
@@ -172,11 +175,15 @@ def flatten_metrics(raw: DataFrame, default_tenant: str = "default",
     )
 
 
+def marked(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    """Messages with their parsed form ``_req`` and a ``reason`` where they cannot be decoded, else null."""
+    parsed = _parsed(raw, schema)
+    bad = F.col("_req").isNull() | F.col("_req._corrupt").isNotNull()
+    return parsed.withColumn("reason", F.when(F.col("value").isNull(), "empty message")
+                             .when(bad, "malformed JSON"))
+
+
 def split_bad(raw: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(decodable messages, undecodable messages with a ``reason``)."""
-    marked = _parsed(raw, schema).withColumn(
-        "_bad", F.col("_req").isNull() | F.col("_req._corrupt").isNotNull())
-    good = marked.where(~F.col("_bad")).drop("_req", "_bad")
-    bad = marked.where("_bad").drop("_req", "_bad").withColumn(
-        "reason", F.when(F.col("value").isNull(), "empty message").otherwise("malformed JSON"))
-    return good, bad
+    both = marked(raw, schema).drop("_req")
+    return both.where("reason IS NULL").drop("reason"), both.where("reason IS NOT NULL")

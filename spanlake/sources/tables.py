@@ -9,6 +9,10 @@ from ..functions.times import instant
 from ..schemas import LAYOUT, RETENTION_DAYS
 
 
+#: Folder level of streamed tables: the micro-batch that wrote the rows, from 1; 0 once a day is packed.
+BATCH = "batch"
+
+
 def scan(spark: SparkSession, path: str, schema: T.StructType,
          tenant_id: str = "default") -> DataFrame:
     """One tenant's rows of a stored table.
@@ -16,7 +20,8 @@ def scan(spark: SparkSession, path: str, schema: T.StructType,
     Day-partitioned tables come with their ``date`` column; the tenant predicate and the day
     predicate of :func:`~spanlake.functions.times.in_range` prune folders.
     """
-    return spark.read.schema(schema).parquet(path).where(F.col("tenant_id") == tenant_id)
+    rows = spark.read.schema(schema).parquet(path).where(F.col("tenant_id") == tenant_id)
+    return rows.drop(BATCH)
 
 
 def with_date(df: DataFrame, ts: str) -> DataFrame:
@@ -24,20 +29,26 @@ def with_date(df: DataFrame, ts: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, table: str, mode: str = "append",
-                bloom: str | None = None) -> None:
+                bloom: str | None = None, batch: int | None = None) -> None:
     """Write a table by tenant and day, sorted inside each file.
 
+    With ``batch``, rows go to that batch's folder below the day and replace what it held, so writing a batch
+    again changes nothing.
+
     The rebalance hint lets AQE split a tenant-day that is too big for one task and merge the
     small ones, so files come out evenly sized even if one tenant has most of the rows.  The
     sort gives row groups tight min/max bounds; ``bloom`` names a column for a Parquet bloom
     filter (point lookups).
     """
     ts, order = LAYOUT[table]
+    folders, rows = ["tenant_id", "date"], with_date(df, ts)
+    if batch is not None:
+        folders, rows, mode = [*folders, BATCH], rows.withColumn(BATCH, F.lit(batch)), "overwrite"
     writer = (
-        with_date(df, ts).hint("rebalance", "tenant_id", "date")
+        rows.hint("rebalance", "tenant_id", "date")
         .sortWithinPartitions("tenant_id", "date", *order)
         .write.mode(mode)
-        .partitionBy("tenant_id", "date")
+        .partitionBy(*folders)
     )
     if bloom:
         writer = writer.option(f"parquet.bloom.filter.enabled#{bloom}", "true")
