@@ -10,6 +10,7 @@ from __future__ import annotations
 import sys
 import types
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +121,18 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(raw ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
 
 
+#: Words of more bytes get a cryptographic hash: a polynomial of 64 bits has equal values for some fixed long texts.
+LONG_WORD = 255
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word; equal for different words only by chance, also of words made for it."""
+    hashes = span_hashes(data, starts, ends)
+    for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        hashes[k] = int.from_bytes(blake2b(data[starts[k]:ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return hashes
+
+
 def shingle_hashes(words: np.ndarray, rows: np.ndarray, n: int,
                    short: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, row and first word of each run of ``n`` words; with ``short``, a row of fewer words is

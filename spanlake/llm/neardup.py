@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
-from operator import add
+from operator import add, and_
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from spanlake.session import cut_lineage
 
-from .bytetext import chunks, fold_case, mix, shingle_hashes, span_hashes, word_spans
+from .bytetext import chunks, fold_case, mix, shingle_hashes, word_hashes, word_spans
 from .components import components
 
 SLOTS, CHUNKS, ERRORS = 24, 4, 2
@@ -35,7 +35,7 @@ def _shingle_sets(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray,
     """Sorted different shingles of each row, and the rows' offsets."""
     folded = fold_case(data)
     starts, ends, rows = word_spans(folded, at)
-    hashes, owner, _ = shingle_hashes(span_hashes(folded, starts, ends), rows, n)
+    hashes, owner, _ = shingle_hashes(word_hashes(folded, starts, ends), rows, n)
     order = np.lexsort((hashes, owner))
     hashes, owner = hashes[order], owner[order]
     if len(hashes):
@@ -85,11 +85,17 @@ def _sketches(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(sketch, "doc_id long, n_shingles long, set_a long, set_b long, signature binary")
 
 
-def join_keys(matrix: np.ndarray) -> np.ndarray:
+def join_keys(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All keys of each signature (a row each): every chunk with every choice of ERRORS slots left
-    out.  The lowest bits of a key are its chunk."""
+    out.  The lowest bits of a key are its chunk.
+
+    Beside each key, the values of the slots left out before its last slot, -1 for none.  Two
+    signatures that agree on several keys of a chunk agree on just one whose slots left out before its
+    last all differ: the one of the first slots they have in common.
+    """
     width = SLOTS // CHUNKS
-    keys = []
+    keys, left = [], []
+    none = np.full(len(matrix), -1, np.int64)
     for chunk in range(CHUNKS):
         for number, kept in enumerate(combinations(range(width), width - ERRORS)):
             packed = np.zeros(len(matrix), np.uint64)
@@ -97,22 +103,36 @@ def join_keys(matrix: np.ndarray) -> np.ndarray:
                 packed = packed << np.uint64(16) | matrix[:, chunk * width + slot].astype(np.uint64)
             key = mix(packed + mix(np.uint64([(chunk << 8) + number + 1]))[0])
             keys.append(key & ~np.uint64(CHUNKS - 1) | np.uint64(chunk))
-    return np.stack(keys, 1)
+            out = [matrix[:, chunk * width + s].astype(np.int64) if s < kept[-1] else none
+                   for s in range(width) if s not in kept]
+            left.append(out)
+    return np.stack(keys, 1), *(np.stack([x[k] for x in left], 1) for k in range(ERRORS))
+
+
+_LEFT = [f"left{k}" for k in range(ERRORS)]
 
 
 def _keys(sketches: DataFrame) -> DataFrame:
-    """``key, node``: every key of every node."""
+    """``key, node, left0, left1``: every key of every node, and what :func:`join_keys` puts beside it."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = batch.column(0).to_numpy()
             matrix = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, SLOTS)
             for low in range(0, len(nodes), 5000):
-                keys = join_keys(matrix[low:low + 5000])
+                keys, *left = join_keys(matrix[low:low + 5000])
                 own = np.repeat(nodes[low:low + 5000], keys.shape[1])
-                yield pa.RecordBatch.from_arrays([_signed(keys.ravel()), pa.array(own)], ["key", "node"])
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(keys.ravel()), pa.array(own), *[pa.array(x.ravel().astype(np.int32)) for x in left]],
+                    ["key", "node", *_LEFT])
+
+    kinds = ", ".join(f"{c} int" for c in _LEFT)
+    return sketches.select("node", "signature").mapInArrow(spread, f"key long, node long, {kinds}")
+
 
-    return sketches.select("node", "signature").mapInArrow(spread, "key long, node long")
+def _first_key(a: str, b: str):
+    """Whether a key is the first of its chunk's that two nodes share, so that a pair meets once a chunk."""
+    return reduce(and_, [(F.col(f"{a}_{x}") < 0) | (F.col(f"{a}_{x}") != F.col(f"{b}_{x}")) for x in _LEFT])
 
 
 def _bits(side: str) -> list[str]:
@@ -186,7 +206,7 @@ def _verified(found: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 def _open_side(placed: DataFrame, name: str) -> DataFrame:
     return placed.select("key", F.col("node").alias(name), F.col("component").alias(f"{name}_component"),
-                         F.col("size").alias(f"{name}_size"),
+                         F.col("size").alias(f"{name}_size"), *[F.col(x).alias(f"{name}_{x}") for x in _LEFT],
                          *[F.col(x).alias(y) for x, y in zip(_bits("bits"), _bits(name))])
 
 
@@ -197,8 +217,8 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = SIMILARITY
     shingles; a component is named by its least doc_id, which is the one kept.  Rows with equal sets
     are one node, so copies make no pairs.  Within a key, nodes first meet a few centres; after the
     components of these links, the nodes of a key that are still in different components meet each
-    other where bitmaps of their sets leave the link possible.  So no link between components is
-    lost, and a large group makes few pairs.
+    other, once for each chunk that they agree in, where bitmaps of their sets leave the link possible.
+    So no link between components is lost, and a large group makes few pairs.
 
     A text without words (or null) has an empty set and stands alone.  Rows that repeat a doc_id
     with different texts are linked through that id; a null doc_id is one document of its own with
@@ -233,7 +253,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = SIMILARITY
     links = cut_lineage(_verified(sets, cut_lineage(near, "pairs"), percent), "verified")
 
     known = components(links)
-    placed = shared.join(known, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    placed = shared.join(known, "node", "left").select("key", "node", *_LEFT, F.coalesce("component", "node").alias("component"))
     open_keys = (placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"))
                  .where("c <> d").select("key"))
     placed = cut_lineage(placed.join(open_keys, "key", "left_semi").join(sets.drop("shingles"), "node"), "open-keys")
@@ -251,7 +271,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = SIMILARITY
     placed = (placed.withColumnRenamed("component", "old").join(merged.withColumnRenamed("node", "old"), "old", "left")
               .withColumn("component", F.coalesce("component", "old")).drop("old"))
     rest = (_open_side(placed, "a").join(_open_side(placed, "b"), "key")
-            .where((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component"))
+            .where((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & _first_key("a", "b")
                    & _may_reach("a", "b", percent)).select("a", "b").distinct())
     more = _verified(sets, cut_lineage(rest, "pairs"), percent)
     whole = components(links.union(linked).union(more).union(same))
