@@ -3,8 +3,8 @@
 Every window of LENGTH bytes names an anchor, its least hashed GRAM-byte string (leftmost of
 equals), so equal windows have equal anchors and meet under the anchor's hash.  Consecutive windows
 with one anchor make a piece of text.  Only pieces whose anchor occurs elsewhere go on; equal
-pieces are merged; where an anchor has several different pieces, a suffix order over these tells
-which windows occur again, and which have an earlier occurrence.
+pieces are merged; where an anchor has several different pieces, longest-previous-factor arrays over
+them, from previous and next smaller positions in suffix order, tell which windows occur earlier.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from spanlake.session import cut_lineage
 
@@ -57,21 +57,19 @@ def _anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return grams[own[new]], starts[new], np.diff(np.r_[new, len(starts)])
 
 
-def _document_pieces(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, piece hash, first window and number of windows of one document's pieces.
+def _document_pieces(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, first window and number of windows of one document's pieces.
 
-    Pieces never straddle a multiple of RUN, which is a cut at the same place only by chance; so a
-    cut piece is cut into single windows' worth on both sides by its own bytes: its piece hash
-    covers the bytes it has, and comparisons are by window.
+    Pieces never straddle a multiple of RUN, which is a cut at the same place only by chance; a piece so cut
+    has other bytes than an equal text cut elsewhere, and the two are compared by window.
     """
     parts = []
     for low in range(0, max(len(data) - LENGTH + 1, 0), RUN):
         some = data[low:low + RUN + LENGTH - 1]
         anchors, first, n = _anchors(some, np.full(len(some), len(some)))
-        whole = span_hashes(some, first, first + n + LENGTH - 1)
-        parts.append((anchors, whole, first + low, n))
+        parts.append((anchors, first + low, n))
     if not parts:
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(p) for p in zip(*parts))
 
 
@@ -79,6 +77,18 @@ def _doc_key(text: bytes) -> int:
     return int.from_bytes(hashlib.sha256(text).digest()[:8], "little", signed=True)
 
 
+def _key_of(sha: Column) -> Column:
+    """The same key out of the SHA-256 in hexadecimal."""
+    return F.conv(F.concat(*[F.substring(sha, 15 - 2 * k, 2) for k in range(8)]), 16, -10).cast("long")
+
+
+def _piece_keys(data: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Cryptographic hash of each piece's bytes."""
+    raw = data.tobytes()
+    digests = [hashlib.blake2b(raw[f:f + m + LENGTH - 1], digest_size=8).digest() for f, m in zip(first.tolist(), n.tolist())]
+    return np.frombuffer(b"".join(digests), "<u8").astype(np.uint64)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
@@ -120,25 +130,21 @@ def _candidates(docs: DataFrame) -> DataFrame:
     wanted = (found.join(shared, "anchor", "left_semi")
               .groupBy("anchor", "doc_key").agg(F.min("did").alias("did"))
               .groupBy("doc_key").agg(F.min("did").alias("did"), F.collect_list("anchor").alias("anchors")))
-    both = docs.join(wanted, "did").select("did", "doc_key", "anchors", "text")
-
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # an id may stand for several texts
-            keys, texts = batch.column(1).to_pylist(), batch.column(3)
-            yield batch.filter(pa.array([_doc_key((t.as_py() or "").encode()) == k for k, t in zip(keys, texts)]))
-
-    return cut_lineage(both.mapInArrow(same, both.schema), "repeat-texts")
+    # An id may stand for many texts, so a text is named by its own key too.
+    keyed = docs.withColumn("doc_key", _key_of(F.sha2("text", 256)))
+    return cut_lineage(keyed.join(wanted, ["did", "doc_key"]).select("did", "doc_key", "anchors", "text"), "repeat-texts")
 
 
 def _pieces_of(batch: pa.RecordBatch, text: str, anchors: str):
-    """(row, bytes, anchor hash, piece hash, first window, windows) for pieces of wanted anchors."""
+    """(row, bytes, anchor hash, piece key, first window, windows) for pieces of wanted anchors."""
     texts = batch.column(batch.schema.get_field_index(text))
     lists = batch.column(batch.schema.get_field_index(anchors))
     for row in range(len(texts)):
         data = np.frombuffer((texts[row].as_py() or "").encode(), np.uint8)
-        hashes, whole, first, n = _document_pieces(data)
+        hashes, first, n = _document_pieces(data)
         wanted = np.isin(hashes.view(np.int64), lists[row].values.to_numpy(zero_copy_only=False))
-        yield row, data, hashes[wanted], whole[wanted], first[wanted], n[wanted]
+        hashes, first, n = hashes[wanted], first[wanted], n[wanted]
+        yield row, data, hashes, _piece_keys(data, first, n), first, n
 
 
 def _occurrences(texts: DataFrame) -> DataFrame:
@@ -161,44 +167,97 @@ def _occurrences(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(find, "anchor long, piece long, doc_key long, did long, first long, n long, twice boolean")
 
 
-def window_classes(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Rank of the ``length``-byte string at each of ``starts`` in suffix order (prefix doubling);
-    equal strings have equal ranks."""
+def _rounds(data: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """The eight bytes at each place as a number, and (bytes compared, rank of every suffix by so many bytes)
+    of each round of prefix doubling."""
     padded = np.r_[data, np.zeros(8, np.uint8)].astype(np.uint64)
     key = np.zeros(len(data), np.uint64)
     for k in range(8):
         key = key << np.uint64(8) | padded[k:k + len(data)]
     _, rank = np.unique(key, return_inverse=True)
-    have = 8
-    while have < length:
+    out = [(8, rank)]
+    while out[-1][0] < length:
+        have, rank = out[-1]
         step = min(have, length - have)
         later = np.r_[rank[step:], np.zeros(step, rank.dtype)]
         _, rank = np.unique(rank.astype(np.int64) * (len(data) + 1) + later, return_inverse=True)
-        have += step
-    return rank[starts]
+        out.append((have + step, rank))
+    return key, out
+
+
+def _smaller_before(values: np.ndarray) -> np.ndarray:
+    """For each place the nearest one before it with a smaller value, -1 if there is none.
+
+    Every place points at the one before it; as long as it points at a larger value, all between are larger
+    too, and it goes on to where that one points.
+    """
+    to = np.arange(len(values)) - 1
+    going = np.flatnonzero(to >= 0)
+    while len(going):
+        going = going[values[to[going]] > values[going]]
+        to[going] = to[to[going]]
+        going = going[to[going] >= 0]
+    return to
+
+
+def longest_previous_factors(data: np.ndarray, starts: np.ndarray,
+                             length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Longest previous and longest next factor of the suffixes at ``starts``, ``length`` bytes at most.
+
+    The longest match of a suffix with one that starts earlier is its match with one of two neighbours in
+    suffix order: the nearest before and the nearest after it whose position is smaller.  Likewise for later
+    starts and larger positions.  ``starts`` rise, and their order stands for position; each has ``length``
+    bytes of its own text after it.  Bytes are compared, in rounds of 8, 16, 32 ... of them.
+    """
+    key, rounds = _rounds(data, length)
+    order = np.lexsort((starts, rounds[-1][1][starts]))
+    place = order.astype(np.int64)  # number among ``starts``, by suffix order
+    n = len(order)
+
+    def matched(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Bytes that suffixes have in common, by ever fewer bytes at a time."""
+        a, b = starts[one].copy(), starts[two].copy()
+        got = np.zeros(len(a), np.int64)
+        last = len(data) - 1
+        for have, rank in reversed(rounds):
+            same = rank[np.minimum(a, last)] == rank[np.minimum(b, last)]
+            same &= (np.maximum(a, b) <= last) & (got + have <= length)
+            got[same] += have
+            a[same] += have
+            b[same] += have
+        differ = key[np.minimum(a, last)] ^ key[np.minimum(b, last)]
+        for k in range(1, 8):
+            got += differ >> np.uint64(64 - 8 * k) == 0
+        return np.minimum(got, length)
+
+    out = []
+    for values in (place, n - 1 - place):
+        factor = np.zeros(n, np.int64)
+        before = _smaller_before(values)
+        after = n - 1 - _smaller_before(values[::-1])[::-1]
+        for to, found in ((before, before >= 0), (after, after < n)):
+            here = np.flatnonzero(found)
+            length_here = matched(place[here], place[to[here]])
+            factor[place[here]] = np.maximum(factor[place[here]], length_here)
+        out.append(factor)
+    return out[0], out[1]
 
 
 def repeated_windows(pieces: list[bytes], counts: list[int],
                      length: int = LENGTH) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Of the first ``counts[k]`` windows of each piece: which occur again, and which occur earlier.
 
-    The pieces stand in text order.  In suffix order, a run of windows that share ``length`` bytes
-    has its longest-previous-factor partners inside: a window has an earlier match, by its previous
-    or next smaller position, exactly when it is not the run's least position.
+    The pieces stand in text order.  A window occurs earlier where its longest previous factor has all its
+    bytes, and again where the longest previous or the longest next one has.
     """
     data = np.frombuffer(b"".join(pieces), np.uint8)
-    begin = np.cumsum([0, *map(len, pieces)])[:-1]
+    sizes = np.array([len(p) for p in pieces])
+    begin = np.cumsum(sizes) - sizes
     starts = np.concatenate([b + np.arange(n) for b, n in zip(begin, counts)])
-    rank = window_classes(data, starts, length)
-    order = np.lexsort((starts, rank))
-    ranks = rank[order]
-    new = np.r_[True, ranks[1:] != ranks[:-1]]
-    size = np.diff(np.r_[np.flatnonzero(new), len(order)])
-    again, earlier = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
-    again[order] = np.repeat(size > 1, size)
-    earlier[order] = ~new
+    previous, following = longest_previous_factors(data, starts, length)
+    earlier = previous >= length
     cut = np.cumsum(counts)[:-1]
-    return np.split(again, cut), np.split(earlier, cut)
+    return np.split(earlier | (following >= length), cut), np.split(earlier, cut)
 
 
 def _ranges(flags: np.ndarray) -> list[int]:
@@ -362,7 +421,7 @@ def find_repeats(docs: DataFrame, keep_first: bool = False) -> DataFrame:
 
 def _assemble(sized: DataFrame, cut: DataFrame, keep_first: bool) -> DataFrame:
     """Results of all rows from those of the different texts."""
-    key = F.conv(F.concat(*[F.substring("sha", 15 - 2 * k, 2) for k in range(8)]), 16, -10).cast("long")
+    key = _key_of(F.col("sha"))
     copies = sized.groupBy("sha").agg(F.count("*").alias("copies"),
                                       F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("home"))
     each = cut.dropDuplicates(["doc_key"]).drop("did")
@@ -381,5 +440,11 @@ def _assemble(sized: DataFrame, cut: DataFrame, keep_first: bool) -> DataFrame:
 
 
 def repeats_table(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
-    return find_repeats(docs).drop("spans")
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document.
+
+    Beside them ``n_kept``, the bytes that stay, and ``repeats``, whether any are removed.  Nulls, empty, long,
+    equal and repeated rows and other columns are as for :func:`find_repeats`; an empty table has no rows.
+    """
+    found = find_repeats(docs).drop("spans")
+    return (found.withColumn("n_kept", F.col("n_bytes") - F.col("n_removed"))
+            .withColumn("repeats", F.col("n_removed") > 0))

@@ -70,10 +70,31 @@ def test_empty(spark):
     assert repeats.repeats_table(documents(spark, [])).count() == 0
 
 
-def test_suffix_order_of_windows():
-    rnd = np.random.default_rng(3)
-    data = rnd.integers(0, 2, 400).astype(np.uint8)
-    starts = np.arange(300)
-    rank = repeats.window_classes(data, starts, 13)
-    windows = [bytes(data[s:s + 13]) for s in starts]
-    assert sorted(range(300), key=lambda k: (rank[k], k)) == sorted(range(300), key=lambda k: (windows[k], k))
+@pytest.mark.parametrize("letters, length", [(2, 13), (2, 40), (1, 20), (4, 8), (3, 30)])
+def test_longest_previous_factors(letters, length):
+    rnd = np.random.default_rng(letters + length)
+    texts = [bytes(rnd.integers(0, letters, n).astype(np.uint8)) for n in (90, 41, 60, 5)]
+    texts.append(texts[0][:70])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    sizes = np.array([len(t) for t in texts])
+    begin = np.cumsum(sizes) - sizes
+    places = [(k, i) for k, t in enumerate(texts) for i in range(len(t) - length + 1)]
+    starts = np.array([begin[k] + i for k, i in places])
+    got = repeats.longest_previous_factors(data, starts, length)
+
+    def common(one, two):
+        x, y = (texts[k][i:i + length] for k, i in (one, two))
+        return next((n for n, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+
+    for n, here in enumerate(places):
+        assert got[0][n] == max((common(here, p) for p in places[:n]), default=0)
+        assert got[1][n] == max((common(here, p) for p in places[n + 1:]), default=0)
+
+
+def test_one_id_with_many_texts(spark):
+    """Texts of null or equal ids are told apart."""
+    shared = prose(1, 90)
+    rows = [(None if k % 2 else 7, prose(100 + k, 10) + shared + prose(200 + k, 10)) for k in range(40)]
+    got = repeats.repeats_table(table(spark, rows))
+    assert collected(got) == plain(rows, repeats.LENGTH, False)
+    assert {(r.n_kept, r.repeats) for r in got.collect()} == {(r.n_bytes - r.n_removed, True) for r in got.collect()}
