@@ -4,8 +4,9 @@ Vectors are scaled to length 1, so a cosine of at least ``least`` is a distance
 such vectors have different home lists, one of them lies within r / 2 of the plane that separates
 the two lists' centres; each vector therefore visits every list whose plane is that near, and every
 linked pair meets in a list.  In many dimensions that is more than needed: what counts is the part of
-the pair's difference along the plane's normal, for a difference without a preferred direction
-r / sqrt(dimensions) on average, so SIGMAS times that is taken where it is less than r.  There, asymmetric distances from the visitor to the coded members
+the pair's difference along the plane's normal, which for differences in many directions is far less than r.
+How much it is depends on the data, so it is measured on links inside some whole lists, and where there are few
+of these, or an exact result is asked for, r itself is taken.  There, asymmetric distances from the visitor to the coded members
 (centre plus residual codes) give a shortlist: a member's own coding error bounds how far its true
 distance can be from the coded one, so no linked pair is lost.  The exact cosine decides.
 """
@@ -29,9 +30,10 @@ LEAST = 0.9
 SAMPLE_ROWS, SAMPLE_NUMBERS = 16_384, 4_000_000
 #: Vectors per list aimed at, and the most lists.
 PER_LIST, MOST_LISTS = 512, 4096
-#: Standard deviations of a difference along a plane's normal that visits allow for; up to SIGMAS
-#: squared dimensions no linked pair can miss, beyond that fewer than one in ten thousand.
-SIGMAS = 4.0
+#: How far a link may reach across the plane between two lists is taken from links inside some whole lists: of
+#: at most PROBE_ROWS vectors and PROBE_PAIRS links, the farthest one MARGIN times over.  With fewer than
+#: LEAST_PAIRS links to judge by, or if asked to be exact, it is the length of the longest link there can be.
+PROBE_ROWS, PROBE_PAIRS, LEAST_PAIRS, MARGIN = 16_384, 4_000, 300, 1.25
 #: Dimensions of a subspace, codes per subspace, rounds of fitting.
 SUB, CODES, ROUNDS, SEED = 4, 64, 8, 5
 #: Members and visitors that meet in one task.
@@ -112,6 +114,51 @@ def visited(index: VectorIndex, x: np.ndarray, home: np.ndarray, radius: float)
     return out
 
 
+def crossing(index: VectorIndex, x: np.ndarray, y: np.ndarray, home: int, radius: float) -> float:
+    """The farthest that any of the links x-y inside one list reaches along the normal of a plane that could part
+    them."""
+    others = np.delete(index.centres, home, 0) - index.centres[home]
+    if not len(others) or not len(x):
+        return 0.0
+    width = np.sqrt((others ** 2).sum(1))
+    normals = others / np.maximum(width, 1e-300)[:, None]
+    middle = width / 2
+    most = 0.0
+    for low in range(0, len(x), 512):
+        one, two = ((v[low:low + 512] - index.centres[home]) @ normals.T for v in (x, y))
+        reached = np.abs(one - two)
+        reached[middle - np.maximum(one, two) > radius] = 0  # too far from the plane to matter
+        most = max(most, float(reached.max()))
+    return most
+
+
+def _reach(placed: DataFrame, index: VectorIndex, sizes: dict[int, int], least: float, radius: float) -> float:
+    """How far links reach across planes, from the links inside some lists; see PROBE_ROWS."""
+    random, chosen, rows = np.random.default_rng(SEED), [], 0
+    for number in random.permutation(sorted(sizes)).tolist():
+        if rows + sizes[number] <= PROBE_ROWS:
+            chosen.append(number)
+            rows += sizes[number]
+    if len(index.centres) < 2 or not chosen:
+        return radius
+    found: dict[int, list] = {}
+    for row in placed.where(F.col("home").isin(chosen)).select("home", "vector").collect():  # at most PROBE_ROWS
+        found.setdefault(row.home, []).append(row.vector)
+    pairs, most = 0, 0.0
+    for home, some in sorted(found.items()):
+        x = np.frombuffer(b"".join(some), "<f8").reshape(len(some), -1)
+        for low in range(0, len(x), 1024):
+            i, j = np.nonzero(np.triu(x[low:low + 1024] @ x[low:].T >= least, 1))
+            if len(i) > PROBE_PAIRS:
+                picked = random.choice(len(i), PROBE_PAIRS, replace=False)
+                i, j = i[picked], j[picked]
+            most = max(most, crossing(index, x[low + i], x[low + j], home, radius))
+            pairs += len(i)
+        if pairs >= 4 * PROBE_PAIRS:
+            break
+    return min(radius, MARGIN * most) if pairs >= LEAST_PAIRS else radius
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(len(column), -1)
 
@@ -161,7 +208,7 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _ENTRY = "list int, block int, visits array<int>, member boolean, node long, copies long, home int, vector binary"
 
 
-def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = LEAST, exact: bool = False) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors``.
 
     Vectors are linked where their cosine, in double precision, is at least ``least``.  ``n_links``
@@ -171,6 +218,9 @@ def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     non-finite components link with nothing.  A null vec_id is no node: its row has no links and a
     null component.  Other columns are ignored.
 
+    Every link found is one.  None can be missed with ``exact``; without it, vectors look into another list only
+    as far across the plane between as links inside some lists of these data do, see PROBE_ROWS.
+
     Members and visitors of a list meet in blocks of BLOCK by BLOCK in separate tasks, so a list
     with a large part of all rows is spread; a task returns a count per vector and a spanning set of
     links, never all pairs.
@@ -186,7 +236,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     links, edges = [], []
     for size in sorted(sizes):
         same = nodes.where(F.size("vector") == size)
-        counts, found = _one_length(spark, same, size, least, radius)
+        counts, found = _one_length(spark, same, size, least, radius, exact)
         links.append(counts)
         edges.append(found)
     empty_links = spark.createDataFrame([], "node long, n long")
@@ -210,37 +260,47 @@ def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     return keyed.unionByName(rest).withColumn("kept", F.col("component_id").eqNullSafe(F.col("vec_id")))
 
 
-def _one_length(spark, nodes: DataFrame, size: int, least: float, radius: float) -> tuple[DataFrame, DataFrame]:
+def _one_length(spark, nodes: DataFrame, size: int, least: float, radius: float,
+                exact: bool) -> tuple[DataFrame, DataFrame]:
     """``node, n`` and ``a, b`` of the links among vectors of one length."""
-    total, reach = nodes.count(), radius * min(1.0, SIGMAS / math.sqrt(size))
+    total = nodes.count()
     some = min(SAMPLE_ROWS, max(1, SAMPLE_NUMBERS // size))
     picked = nodes.orderBy(F.xxhash64("node"), "node").limit(some).select("vector").collect()  # bounded
     sample = np.array([r.vector for r in picked], float)
     sample /= np.sqrt((sample ** 2).sum(1, keepdims=True))
     index = fit(sample, total)
-    sent = spark.sparkContext.broadcast(index)  # at most MOST_LISTS centres and the codebooks
+    # At most MOST_LISTS centres and the codebooks; as arrays, which workers read without this package.
+    sent = spark.sparkContext.broadcast((index.centres, index.books))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
+        index = VectorIndex(*sent.value)
         for batch in batches:
             x = batch.column(0).values.to_numpy(zero_copy_only=False).reshape(len(batch), -1)
             x = x / np.abs(x).max(1, keepdims=True)
             x = x / np.sqrt((x * x).sum(1, keepdims=True))
-            home = _nearest(x, index.centres)
-            lists = visited(index, x, home, reach)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), pa.array(home.astype(np.int32)),
-                 pa.array([v.tolist() for v in lists], pa.list_(pa.int32())),
-                 pa.array([r.tobytes() for r in x], pa.binary())],
+                [batch.column(1), batch.column(2), pa.array(_nearest(x, index.centres).astype(np.int32)),
+                 pa.array([r.tobytes() for r in x], pa.binary())], ["node", "copies", "home", "vector"])
+
+    at_home = cut_lineage(nodes.select("vector", "node", "copies").mapInArrow(
+        assign, "node long, copies long, home int, vector binary"), "vector-homes")
+    held = {r.home: r.m for r in at_home.groupBy("home").agg(F.count("*").alias("m")).collect()}  # MOST_LISTS rows
+    reach = radius if exact else _reach(at_home, index, held, least, radius)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = VectorIndex(*sent.value)
+        for batch in batches:
+            lists = visited(index, _matrix(batch.column(3)), batch.column(2).to_numpy(), reach)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array([v.tolist() for v in lists], pa.list_(pa.int32())), batch.column(3)],
                 ["node", "copies", "home", "visits", "vector"])
 
-    placed = cut_lineage(nodes.select("vector", "node", "copies").mapInArrow(
-        assign, "node long, copies long, home int, visits array<int>, vector binary"), "placed-vectors")
+    placed = cut_lineage(at_home.mapInArrow(
+        look, "node long, copies long, home int, visits array<int>, vector binary"), "placed-vectors")
     # Blocks per list: of its members, and of all that come to see them.  One row per list.
-    members = placed.groupBy(F.col("home").alias("list")).agg(F.count("*").alias("m"))
-    guests = placed.select(F.explode("visits").alias("list")).groupBy("list").agg(F.count("*").alias("g"))
-    blocks = {r.list: (-(-r.m // BLOCK), -(-(r.m + (r.g or 0)) // BLOCK))
-              for r in members.join(guests, "list", "left").collect()}  # at most MOST_LISTS rows
+    guests = {r.list: r.g for r in placed.select(F.explode("visits").alias("list")).groupBy("list")
+              .agg(F.count("*").alias("g")).collect()}
+    blocks = {k: (-(-m // BLOCK), -(-(m + guests.get(k, 0)) // BLOCK)) for k, m in held.items()}
     shape = spark.sparkContext.broadcast(blocks)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +328,7 @@ def _one_length(spark, nodes: DataFrame, size: int, least: float, radius: float)
                     ["list", "block", "visits", "member", "node", "copies", "home", "vector"])
 
     def meet(table: pa.Table) -> pa.Table:
-        index, centre = sent.value, table.column("list")[0].as_py()
+        index, centre = VectorIndex(*sent.value), table.column("list")[0].as_py()
         table = table.combine_chunks()
         is_member = table.column("member").to_numpy()
         ours, theirs = table.filter(pa.array(is_member)), table.filter(pa.array(~is_member))

@@ -87,3 +87,53 @@ def test_recall_in_many_dimensions(spark):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     want = (x @ x.T >= 0.9).sum(1) - 1
     assert all(got[k] <= n for k, n in enumerate(want)) and sum(got.values()) >= 0.99 * want.sum() > 500
+
+
+@pytest.mark.parametrize("rank, size, rows", [(4, 64, 3000), (8, 768, 3000), (16, 768, 3000), (64, 64, 3000), (400, 768, 2000)])
+def test_recall_for_few_directions(spark, monkeypatch, rank, size, rows):
+    """Vectors of so many independent directions, a third of them near copies."""
+    monkeypatch.setattr(vectors, "PER_LIST", 100)
+    rnd = np.random.default_rng(rank + size)
+    base = rnd.normal(size=(rows, rank))
+    third = rows // 3
+    base[:third] = base[rnd.integers(third, rows, third)] + rnd.normal(size=(third, rank)) * 0.46
+    x = np.float32(base @ rnd.normal(size=(rank, size))).astype(float)
+    frame = spark.createDataFrame([(k, v.tolist(), 0, 1, "x") for k, v in enumerate(x)], SCHEMA)
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(frame).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.9).sum(1) - 1
+    assert all(got[k] <= n for k, n in enumerate(want)) and sum(got.values()) >= 0.99 * want.sum() > 100
+
+
+def test_exact_form_and_few_links(spark, monkeypatch):
+    """Asked for, or with too few links to judge by, nothing is missed."""
+    rnd = np.random.default_rng(9)
+    x = rnd.normal(size=(900, 20))
+    x[:200] = x[rnd.integers(300, 900, 200)] + rnd.normal(size=(200, 20)) * 0.4
+    x = np.float32(x).astype(float)
+    frame = spark.createDataFrame([(k, v.tolist(), 0, 1, "x") for k, v in enumerate(x)], SCHEMA)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((x @ x.T >= 0.9).sum(1) - 1).tolist()
+    monkeypatch.setattr(vectors, "PER_LIST", 40)
+    for exact, margin, pairs in ((True, 0.01, 1), (False, 0.01, 10**9)):
+        monkeypatch.setattr(vectors, "MARGIN", margin)
+        monkeypatch.setattr(vectors, "LEAST_PAIRS", pairs)
+        got = {r.vec_id: r.n_links for r in vectors.near_vectors(frame, exact=exact).collect()}
+        assert [got[k] for k in range(900)] == want and sum(want) > 100
+
+
+def test_workers_need_no_package(spark):
+    """What goes to workers are arrays and functions by value."""
+    import pickle
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+    index = vectors.fit(np.eye(8), 10)
+    raw = cloudpickle.dumps((vectors.encode, vectors.VectorIndex, vectors.visited))
+    arrays = pickle.dumps((index.centres, index.books))
+    code = ("import pickle, sys; f, V, v = pickle.loads(bytes.fromhex(sys.argv[1])); i = V(*pickle.loads(bytes.fromhex(sys.argv[2])));"
+            "import numpy as np; print(f(i, np.eye(8), np.zeros(8, int))[0].shape)")
+    done = subprocess.run([sys.executable, "-c", code, raw.hex(), arrays.hex()], cwd="/", capture_output=True, text=True,
+                          env={"PATH": "/usr/bin"}, timeout=60)
+    assert "(8, 2)" in done.stdout, done.stderr
