@@ -1,8 +1,9 @@
 """Attribute values of the wire format as text.
 
-An attribute value is one of string, bool, int, double, bytes, array or key-value list.
-Spark structs cannot recurse, so nesting is read to a fixed depth of three; what lies deeper is
-kept as the JSON text it came as.
+An attribute value is one of string, bool, int, double, bytes, array or key-value list, nested to any
+depth.  Spark structs cannot recurse, so a value is parsed three levels at a time: what lies deeper first
+stays JSON between two marks, and is then parsed and rendered in turn until no mark is left.  Values
+without deeper levels, nearly all, cost one look for a mark.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F, types as T
 
 DEPTH = 3
+#: Marks around JSON that is not rendered yet: noncharacters, which no text in exchange may hold.
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
 
 
 def any_value_type(depth: int = DEPTH) -> T.StructType:
@@ -76,19 +79,36 @@ def _value_sql(v: str, depth: int) -> str:
             f"{v}.kvlistValue.values, {pair} -> concat({pair}.key, '=', "
             f"{_value_sql(pair + '.value', depth - 1)})), ','), ''), '}}'))"]
     else:
-        parts += [f"{v}.arrayValue", f"{v}.kvlistValue"]
+        parts += [f"""concat('{_OPEN}{{"{kind}":', {v}.{kind}, '}}{_CLOSE}')""" for kind in ("arrayValue", "kvlistValue")]
     return f"coalesce({', '.join(parts)}, '')"
 
 
+def _whole_sql(text: str) -> str:
+    """SQL of a text with all that is still JSON in it rendered, three levels in each round.
+
+    There are at most as many rounds as nested values; a round without marks does nothing.
+    """
+    kind = any_value_type().simpleString()
+    some = _value_sql("v_", DEPTH)
+    value = (f"""transform(array(from_json(substring_index(part_, '{_CLOSE}', 1), '{kind}')), v_ -> {some})[0]""")
+    after = f"substring(part_, length(substring_index(part_, '{_CLOSE}', 1)) + 2)"
+    one = (f"""concat(split(acc_, '{_OPEN}')[0], array_join(transform(slice(split(acc_, '{_OPEN}'), 2, """
+           f"""length(acc_)), part_ -> concat({value}, {after})), ''))""")
+    rounds = f"""sequence(1, greatest(1, size(split({text}, 'Value"'))))"""
+    return f"""IF(instr({text}, '{_OPEN}') = 0, {text},
+        aggregate({rounds}, {text}, (acc_, round_) -> IF(instr(acc_, '{_OPEN}') = 0, acc_, {one})))"""
+
+
 def any_value_text(column: str) -> Column:
     """Text of the attribute value in a named column; '' when it is missing."""
-    return F.expr(_value_sql(column, DEPTH))
+    return F.expr(f"transform(array({_value_sql(column, DEPTH)}), t_ -> {_whole_sql('t_')})[0]")
 
 
 def text_pairs(pairs: str) -> Column:
     """Key-value pairs of a named column, values as text (``key``, ``text`` structs)."""
-    return F.expr(f"""coalesce(transform({pairs}, p -> named_struct('key', p.key, 'text',
-        {_value_sql('p.value', DEPTH)})), array())""")
+    first = f"transform({pairs}, p -> named_struct('key', p.key, 'text', {_value_sql('p.value', DEPTH)}))"
+    return F.expr(f"""coalesce(transform({first}, q_ -> named_struct('key', q_.key, 'text',
+        {_whole_sql('q_.text')})), array())""")
 
 
 def last_text(pairs: Column, key: str) -> Column:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanlake.functions import attrs, codes, text
-from spanlake.functions.anyvalue import any_value_text, any_value_type
+from spanlake.functions.anyvalue import any_value_text, any_value_type, text_pairs
 from spanlake.functions.times import auto_step, bucket_start, width_seconds
 from spanlake.sources.statsd import parse_line, statsd_rows
 
@@ -73,7 +73,7 @@ def test_statsd_packet_resource(spark):
     ({"doubleValue": -1.5e20}, "-15" + "0" * 19), ({"doubleValue": 123456789.125}, "123456789.125"),
     ({"arrayValue": {"values": [{"arrayValue": {"values": [{"arrayValue": {"values": [
         {"stringValue": "deep"}, {"intValue": "7"}]}}]}}]}},
-     '[[{"values":[{"stringValue":"deep"},{"intValue":"7"}]}]]'),
+     '[[[deep,7]]]'),
     ({"doubleValue": 5.0}, "5"), ({"doubleValue": 0.25}, "0.25"),
     ({"doubleValue": 1e16}, "10000000000000000"), ({"doubleValue": 12345678.5}, "12345678.5"),
     ({"doubleValue": 0.00001}, "0.00001"), ({"doubleValue": -2.0}, "-2"),
@@ -131,3 +131,18 @@ def test_severity_band(spark, number, want):
 @pytest.mark.parametrize("name, want", [("warn", 13), ("WARNING", 13), ("what", None), (None, None)])
 def test_severity_floor(name, want):
     assert codes.severity_floor(name) == want
+
+
+@pytest.mark.parametrize("json, want", [
+    ('{"arrayValue":{"values":[{"arrayValue":{"values":[{"arrayValue":{"values":[{"stringValue":"deep"},{"intValue":"7"}]}}]}}]}}',
+     "[[[deep,7]]]"),
+    ('{"arrayValue":{"values":[' * 40 + '{"doubleValue":5.0}' + ']}}' * 40, "[" * 40 + "5" + "]" * 40),
+    ('{"kvlistValue":{"values":[{"key":"a","value":' * 9 + '{"boolValue":true}' + '}]}}' * 9, "{a=" * 9 + "true" + "}" * 9),
+    ('{"arrayValue":{"values":[{"arrayValue":{"values":[{"arrayValue":{"values":[]}},{"arrayValue":{"values":[{"arrayValue":'
+     '{"values":[{"stringValue":"{\\"arrayValue\\": 1}"}]}},{"kvlistValue":{}}]}}]}}]}}', '[[[],[[{"arrayValue": 1}],{}]]]'),
+    ('{"stringValue":"plain"}', "plain"), ("{}", ""), (None, "")])
+def test_values_of_any_depth(spark, json, want):
+    df = spark.createDataFrame([(json,)], "json string").select(F.from_json("json", any_value_type()).alias("v"))
+    assert df.select(any_value_text("v").alias("t")).first().t == want
+    pairs = df.select(F.array(F.struct(F.lit("k").alias("key"), F.col("v").alias("value"))).alias("p"))
+    assert [tuple(r) for r in pairs.select(text_pairs("p").alias("t")).first().t] == [("k", want)]

@@ -245,6 +245,25 @@ def any_value_texts(spark, sf):
     return parsed.select("event_id", any_value_text("v").alias("text"))
 
 
+@query("any_value_deep", """SELECT event_id, CASE event_id % 3
+    WHEN 0 THEN concat(repeat('[', CAST(3 + user_id % 8 AS int)), event_type, ',7', repeat(']', CAST(3 + user_id % 8 AS int)))
+    WHEN 1 THEN concat(repeat('{k=', CAST(3 + user_id % 8 AS int)), event_type, repeat('}', CAST(3 + user_id % 8 AS int)))
+    ELSE concat('[x,', repeat('{k=[', CAST(1 + user_id % 5 AS int)), event_type, repeat(']}', CAST(1 + user_id % 5 AS int)), ',y]')
+    END AS text FROM events""")
+def any_value_deep(spark, sf):
+    """Arrays and key-value lists nested three to twelve deep, alone and in turn."""
+    listed, pair = '{"arrayValue":{"values":[', '{"kvlistValue":{"values":[{"key":"k","value":'
+    text = """concat('{"stringValue":"', event_type, '"}')"""
+    many, some = "CAST(3 + user_id % 8 AS INT)", "CAST(1 + user_id % 5 AS INT)"
+    made = V.table(spark, sf, "events").selectExpr("event_id", f"""CASE event_id % 3
+        WHEN 0 THEN concat(repeat('{listed}', {many}), {text}, ',{{"intValue":"7"}}', repeat(']}}}}', {many}))
+        WHEN 1 THEN concat(repeat('{pair}', {many}), {text}, repeat('}}]}}}}', {many}))
+        ELSE concat('{listed}{{"stringValue":"x"}},', repeat('{pair}{listed}', {some}), {text},
+          repeat(']}}}}}}]}}}}', {some}), ',{{"stringValue":"y"}}]}}}}') END AS json""")
+    parsed = made.select("event_id", F.from_json("json", any_value_type()).alias("v"))
+    return parsed.select("event_id", any_value_text("v").alias("text"))
+
+
 @query("compare_ops", """SELECT event_id, CASE event_id % 5 WHEN 0 THEN value > 50
     WHEN 1 THEN value >= 50 WHEN 2 THEN value < 50 WHEN 3 THEN value <= 50
     ELSE abs(value - 50) < 2.220446049250313e-16 END AS violated FROM events""")
