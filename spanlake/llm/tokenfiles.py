@@ -28,12 +28,22 @@ END_ID = 2
 CACHED_PIECES, CACHED_CHARS = 200_000, 40
 #: Words that one call of the tokenizer gets.
 LINE = 256
-_MARKS = string.punctuation
+_MARKS = frozenset(string.punctuation)
 ROWS_AT_ONCE, CHARS_AT_ONCE = 1000, 2_000_000
 BLOCK_BYTES = 1 << 20
 DOCS_PER_PART, MOST_PARTS = 5_000, 50_000
 
 
+def _word_tokenizer(tokenizer):
+    """The same vocabulary for lines of words that folding leaves as they are: cut at spaces, nothing folded."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers as pre
+
+    plain = Tokenizer(tokenizer.model)
+    plain.normalizer = normalizers.Sequence([])
+    plain.pre_tokenizer = pre.Sequence([pre.WhitespaceSplit(), pre.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return plain
+
+
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     cache = worker_cache("tokenizers")
@@ -41,15 +51,21 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         cache.path, cache.young, cache.old = path, {}, {}
-        cache.letters, cache.others = set(), set()
+        cache.letters, cache.others, cache.stable = set(), set(), set(string.ascii_lowercase)
         cache.tokenizer = Tokenizer.from_file(path)
+        cache.plain = _word_tokenizer(cache.tokenizer)
     return cache.tokenizer, cache
 
 
-def _one_letter(tokenizer, char: str) -> bool:
-    """Whether the tokenizer's folding and cutting leave ``char`` within one word of letters."""
+def _one_letter(tokenizer, cache, char: str) -> bool:
+    """Whether the tokenizer's folding and cutting leave ``char`` within one word of letters; one that folding
+    leaves as it is becomes known as such."""
     folded = tokenizer.normalizer.normalize_str(f"a{char}a")
-    return len(tokenizer.pre_tokenizer.pre_tokenize_str(folded)) == 1
+    if len(tokenizer.pre_tokenizer.pre_tokenize_str(folded)) != 1:
+        return False
+    if folded == f"a{char}a":
+        cache.stable.add(char)
+    return True
 
 
 def _is_word(piece: str, tokenizer, cache) -> bool:
@@ -65,7 +81,7 @@ def _is_word(piece: str, tokenizer, cache) -> bool:
     fresh = set(piece) - cache.letters
     if not cache.others.isdisjoint(fresh):
         return False
-    good = {c for c in fresh if c.isascii() or _one_letter(tokenizer, c)}
+    good = {c for c in fresh if c.isascii() or _one_letter(tokenizer, cache, c)}
     cache.letters |= good
     cache.others |= fresh - good
     return good == fresh
@@ -76,22 +92,28 @@ def _encode_pieces(tokenizer, cache, pieces: list[str], found: dict[str, bytes])
 
     Pieces that are one word each go in one line, whose word numbers tell them apart; a line
     with another number of words than pieces, and any other piece, is encoded piece by piece.
+    Words that folding leaves as they are go to a tokenizer that does not fold.
     """
-    words, rest = [], []
+    words, plain, rest = [], [], []
     for piece in pieces:
-        (words if _is_word(piece, tokenizer, cache) else rest).append(piece)
-    for low in range(0, len(words), 100 * LINE):
-        some = words[low:low + 100 * LINE]
+        if not _is_word(piece, tokenizer, cache):
+            rest.append(piece)
+        elif cache.stable.issuperset(piece) and (piece.isascii() or unicodedata.is_normalized("NFC", piece)):
+            plain.append(piece)
+        else:
+            words.append(piece)
+    for coder, some in ((tokenizer, words), (cache.plain, plain)):
         lines = [some[k:k + LINE] for k in range(0, len(some), LINE)]
-        coded = tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False)
-        for line, got in zip(lines, coded):
-            numbers = np.array(got.word_ids)
-            if len(numbers) == 0 or numbers[-1] + 1 != len(line):
-                rest += line
-                continue
-            raw = np.array(got.ids, "<u4").tobytes()
-            at = (np.searchsorted(numbers, np.arange(len(line) + 1)) * 4).tolist()
-            found.update(zip(line, [raw[x:y] for x, y in zip(at, at[1:])]))
+        for low in range(0, len(lines), 100):
+            coded = coder.encode_batch([" ".join(x) for x in lines[low:low + 100]], add_special_tokens=False)
+            for line, got in zip(lines[low:low + 100], coded):
+                numbers = np.array(got.word_ids)
+                if len(numbers) == 0 or numbers[-1] + 1 != len(line):
+                    rest += line
+                    continue
+                raw = np.array(got.ids, "<u4").tobytes()
+                at = (np.searchsorted(numbers, np.arange(len(line) + 1)) * 4).tolist()
+                found.update(zip(line, [raw[x:y] for x, y in zip(at, at[1:])]))
     for low in range(0, len(rest), 20_000):
         some = rest[low:low + 20_000]
         for piece, got in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
@@ -104,14 +126,15 @@ def _piece_ids(path: str, pieces: set[str]) -> dict[str, bytes]:
     if len(cache.young) > CACHED_PIECES:
         cache.young, cache.old = {}, cache.young
     young, old = cache.young, cache.old
-    ended, fresh = [], set()
-    for piece in pieces.difference(young):
-        ids = old.get(piece)
-        if ids is not None:
-            young[piece] = ids
-            continue
-        letters = piece.rstrip(_MARKS)
-        if len(letters) == len(piece) or not _is_word(letters, tokenizer, cache):
+    new = pieces.difference(young)
+    again = new.intersection(old)
+    young.update([(p, old[p]) for p in again])
+    new -= again
+    fresh = {p for p in new if p[-1:] not in _MARKS}
+    ended = []
+    for piece in new - fresh:
+        letters = piece.rstrip(string.punctuation)
+        if not _is_word(letters, tokenizer, cache):
             fresh.add(piece)
             continue
         ended.append((piece, letters, piece[len(letters):]))  # two words to the tokenizer
@@ -182,7 +205,7 @@ def encode_texts(path: str, texts: list[str]) -> list[bytes]:
     """
     pieces = [_split(t) for t in texts]
     ids = _piece_ids(path, set().union(*pieces))
-    return [b"".join([ids[w] for w in words]) for words in pieces]
+    return [b"".join(map(ids.__getitem__, words)) for words in pieces]
 
 
 def _check_tokenizer(path: str) -> int:
