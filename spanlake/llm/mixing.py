@@ -54,18 +54,18 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
 
 
 def with_copies(docs: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFrame:
-    """``docs`` with ``_size, _source_size, _target, _copies``.
+    """``row, size, source_size, target, copies`` of each document; ``row`` holds its own columns.
 
     ``rates`` is a stored table of one row per source, so Spark sees its size when it plans the
-    join and no document needs to move.  Rows with the same id draw the same number.
+    join and no document needs to move.  Rows with the same id draw the same number.  Columns of any name
+    are fine: they stay inside ``row``.
     """
-    few = rates.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"),
-                       F.col("target").alias("_target"), F.col("rate").alias("_rate"))
-    whole = F.floor("_rate")
-    extra = (draw(F.col("doc_id"), seed) < F.col("_rate") - whole).cast("long")
-    return (docs.join(few, F.col("source").eqNullSafe(F.col("_source")), "left")
-            .withColumn("_size", text_size(F.col("text")))
-            .withColumn("_copies", whole + extra).drop("_source", "_rate"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    whole = F.floor("rate")
+    extra = (draw(F.col("row.doc_id"), seed) < F.col("rate") - whole).cast("long")
+    return (rows.join(rates, F.col("row.source").eqNullSafe(F.col("source")), "left")
+            .select("row", text_size(F.col("row.text")).alias("size"), "source_size", "target",
+                    (whole + extra).alias("copies")))
 
 
 def mix_table(docs: DataFrame, seed: str = SEED) -> DataFrame:
@@ -78,17 +78,14 @@ def mix_table(docs: DataFrame, seed: str = SEED) -> DataFrame:
     rows = docs.select("doc_id", "text", "source")
     rates = cut_lineage(source_targets(rows), "mix-rates")
     return with_copies(rows, rates, seed).select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+        "row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with its own columns."""
-    own = docs.columns
+    """The mix itself: each document as often as it is taken, with its own columns, whatever their names."""
     rates = cut_lineage(source_targets(docs.select("source", "text")), "mix-rates")
-    counted = with_copies(docs, rates, seed)
-    copies = F.explode(F.expr("sequence(1, int(_copies))"))
-    return counted.where("_copies > 0").withColumn("_copy", copies).select(*[f"`{c}`" for c in own])
+    counted = with_copies(docs, rates, seed).where("copies > 0")
+    return counted.select("row", F.explode(F.expr("sequence(1, int(copies))")).alias("copy")).select("row.*")
 
 
 MIX_SQL = r"""

@@ -63,3 +63,14 @@ def test_mix_gives_the_copies(spark):
 def test_empty(spark):
     assert mixing.mix_table(documents(spark, [])).count() == 0
     assert mixing.mixed_documents(documents(spark, [])).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    """Columns that are called like inner ones come through with what they hold."""
+    rows = [(k, "some words in a text", "a", "b" * (k % 3), "size", "src", 1.5, "rate", "row", 7, "copy", "w.x") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _size string, source string, size string, source_size string, "
+                                 "target double, rate string, row string, _copies int, copy string, `weight.x` string")
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    assert {tuple(r) for r in mixed.collect()} <= set(rows) and mixed.count() > 30
+    assert mixing.mix_table(docs).count() == 40
