@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import functions as F
 
 from spanlake.functions import attrs, text, times
@@ -315,3 +317,12 @@ def intent_tag(spark, sf):
         (F.col("user_id") % 5).cast("string")).alias("text"))
     messages = V.table(spark, sf, "conversations").select("text").unionByName(asked)
     return findings.tag_intent(messages)
+
+
+@query("auto_step_range", """SELECT service, CAST(floor(epoch_us(timestamp) / 21600000000) * 21600000 AS bigint) AS t,
+    round(avg(value), 6) AS v FROM metrics WHERE name = 'app.click' GROUP BY ALL""", ("metrics",))
+def auto_step_range(spark, sf):
+    """A month's series per service in the step that its range gets by itself: six hours."""
+    ends = [int(datetime.fromisoformat(t).replace(tzinfo=UTC).timestamp() * 1000) for t in (V.START, V.END)]
+    series = M.query_range(V.metrics(spark, sf), "app.click", V.START, V.END, step=times.auto_step(*ends), group_by=["service"])
+    return series.withColumn("v", F.round("v", 6))
