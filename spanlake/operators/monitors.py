@@ -6,10 +6,12 @@ threshold, severity, enabled, interval_secs).
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.codes import LOG_ERROR_FLOOR, is_error, violated
-from ..functions.ranks import between, log_band, position, with_known_size
+from ..functions.ranks import DRIVER_ROWS, between, log_band, position, with_known_size
 from ..functions.times import in_range, instant
 from ..session import cut_lineage
 
@@ -50,8 +52,26 @@ def _ticks(plan: DataFrame) -> DataFrame:
              .alias("tick"))
 
 
+def _grid(plan: DataFrame) -> tuple[int, int]:
+    """(width of a slot, longest window) in seconds.
+
+    All ticks and windows begin and end on slots, counted from the first tick, so what falls into one slot
+    counts in the same windows.  Monitors with very many different schedules have slots of a second.
+    """
+    pairs = plan.select("_period", "window_secs").distinct().limit(DRIVER_ROWS + 1).collect()
+    if len(pairs) > DRIVER_ROWS:
+        return 1, plan.agg(F.max("window_secs")).first()[0] or 0
+    return max(1, gcd(*[n or 0 for pair in pairs for n in pair])), max((p.window_secs or 0 for p in pairs), default=0)
+
+
+def _slot(ts: str, start, width: int) -> Column:
+    """Second at which the slot of a time begins."""
+    first = F.unix_seconds(instant(start))
+    return F.floor((F.unix_seconds(ts) - first) / F.lit(width)) * width + first
+
+
 def _covering(second: Column) -> Column:
-    """Numbers of the ticks whose window [tick - w, tick) holds ``second``."""
+    """Numbers of the ticks whose window [tick - w, tick) holds the slot that begins at ``second``."""
     since = second - F.col("_first")
     low = F.greatest(F.floor(since / F.col("_period")) + 1, F.lit(0).cast("long"))
     high = F.least(F.floor((since + F.col("window_secs")) / F.col("_period")), F.col("_last"))
@@ -74,19 +94,19 @@ def _windows_of(rows: DataFrame, plan: DataFrame) -> DataFrame:
 _TICK = ["tenant_id", "monitor_id", "tick"]
 
 
-def _tails(seen: DataFrame, plan: DataFrame, q: float = 0.99) -> DataFrame:
+def _tails(seen: DataFrame, plan: DataFrame, slot: Column, q: float = 0.99) -> DataFrame:
     """(tenant_id, monitor_id, tick, _p99): the exact quantile of each window with spans.
 
     Two passes over counts; no span is repeated.  The first counts the bands of each service and
-    second and adds them up per window, which tells the band of both wanted ranks.  The second
-    counts single durations of those bands only, again per service and second before the windows.
+    slot and adds them up per window, which tells the band of both wanted ranks.  The second
+    counts single durations of those bands only, again per service and slot before the windows.
     """
     at = position(q)
     held = f"filter(array_distinct(array(floor({at}), ceil({at}))), r -> r >= _before AND r < _upto)"
     service = ["tenant_id", "service"]
     timed = (
         seen.where(F.col("duration_ns").isNotNull())
-        .select(*service, F.unix_seconds("start_time").alias("_sec"),
+        .select(*service, slot.alias("_sec"),
                 F.col("duration_ns").alias("_value"))
         .join(plan.select(*service).distinct(), service, "left_semi")
         .withColumn("_band", F.expr(log_band(TAIL_BANDS))))
@@ -124,33 +144,33 @@ def monitor_values(monitors: DataFrame, spans: DataFrame, logs: DataFrame, start
                    poll: int = POLL_SECONDS) -> DataFrame:
     """Value of every enabled monitor at every tick, also where no row matched.
 
-    Runs a small job over the monitors and the first pass of the p99 windows.  Spans are first reduced to one row per service and
-    second (and duration band, for p99), so a service with a third of all rows costs the join no
+    Runs small jobs over the monitors and the first pass of the p99 windows.  Spans are first reduced to one
+    row per service and slot of time (and duration band, for p99), so a service with a third of all rows costs the join no
     more than any other; only those cells meet the monitors.  error_rate and counts are 0
     without data, avg and p99 null.  Ticks and windows are whole seconds.
     """
     # Monitors are read first: the joins are planned by their real number, and the longest
     # window bounds the scan with plain literals.
     plan = with_known_size(_with_schedule(monitors, start, end, poll))
-    reach = plan.agg(F.max("window_secs")).first()[0] or 0
+    width, reach = _grid(plan)
     earliest = F.timestamp_seconds(F.unix_seconds(instant(start)) - reach)
     seen = in_range(spans, "start_time", earliest, end)
     cells = (
-        seen.groupBy("tenant_id", "service", F.unix_seconds("start_time").alias("_sec"))
+        seen.groupBy("tenant_id", "service", _slot("start_time", start, width).alias("_sec"))
         .agg(F.count(F.lit(1)).alias("_n"),
              F.sum(F.when(is_error(), 1).otherwise(0)).alias("_errors"),
              F.sum(F.col("duration_ns").cast("double")).alias("_ns")))
     log_cells = (
         in_range(logs, "timestamp", earliest, end)
         .where(F.col("severity_number") >= LOG_ERROR_FLOOR)
-        .groupBy("tenant_id", "service", F.unix_seconds("timestamp").alias("_sec"))
+        .groupBy("tenant_id", "service", _slot("timestamp", start, width).alias("_sec"))
         .agg(F.count(F.lit(1)).alias("_n")))
     is_log, is_p99 = F.col("kind") == "log", F.col("aggregation") == "p99"
     sums = _windows_of(cells, plan.where(~is_log & ~is_p99)).groupBy(*_TICK).agg(
         F.sum("_n").alias("_n"), F.sum("_errors").alias("_errors"), F.sum("_ns").alias("_ns"))
     log_sums = _windows_of(log_cells, plan.where(is_log)).groupBy(*_TICK).agg(
         F.sum("_n").alias("_logs"))
-    tails = _tails(seen, plan.where(~is_log & is_p99))
+    tails = _tails(seen, plan.where(~is_log & is_p99), _slot("start_time", start, width))
     n = F.coalesce("_n", F.lit(0))
     value = (
         F.when(is_log, F.coalesce("_logs", F.lit(0)).cast("double"))
