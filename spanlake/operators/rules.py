@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.attrs import attr_number, has_attr
 from ..functions.text import SEPARATOR, has_token, words
 from ..functions.topk import top_k
+from ..session import cut_lineage
 
 FILTER_TYPES = ("keyword", "severity", "service", "body_regex")
 
@@ -38,6 +39,8 @@ def checked_type() -> Column:
 
 #: Bits of the word filter, in numbers of 64; and the words up to which a set of them is quicker.
 FILTER_CELLS, FEW_WORDS = 1 << 14, 64
+#: From this many words on, one in 64 bits, the filter lets too many words pass that no rule has.
+MANY_WORDS = FILTER_CELLS
 
 
 def _literals(regex: Column) -> Column:
@@ -102,6 +105,19 @@ def _probes() -> Column:
                     F.transform(hits, lambda p: F.concat(F.lit("body_regex:"), p["regex"])))
 
 
+def _held_rules(logs: DataFrame, rules: DataFrame) -> DataFrame:
+    """The enabled rules without those whose keyword no log of their tenant holds.
+
+    The logs' words are reduced to distinct ones per task, and only words are shuffled.
+    """
+    rules = rules.where("enabled").select("enabled", "tenant_id", "metric_name", "filter_type", "filter_value", "value_field")
+    seen = logs.select("tenant_id", F.explode(F.array_distinct(words(F.coalesce("body", F.lit("")))))
+                       .alias("filter_value")).distinct()
+    keyword = F.col("filter_type").eqNullSafe("keyword")
+    held = rules.where(keyword).join(seen, ["tenant_id", "filter_value"], "left_semi")
+    return cut_lineage(rules.where(~keyword).unionByName(held.select(rules.columns)), "rules")
+
+
 def _rule_key() -> Column:
     """Join key of a rule.  Words hold no ':', so they cannot clash with the prefixed keys; a
     keyword that is empty or has a separator in it is no word and matches nothing."""
@@ -113,10 +129,15 @@ def _rule_key() -> Column:
 def apply_rules(logs: DataFrame, rules: DataFrame) -> DataFrame:
     """One metric row per log and enabled rule that matches it, for any number of rules.
 
-    One lazy path: a log is exploded into the keys it can match, a rule has one key, and an equi
-    join brings them together.  Spark broadcasts the rules where their size allows; beyond that a
-    hot key such as one severity is split by the skew handling of AQE.
+    A log is exploded into the keys it can match, a rule has one key, and an equi join brings them
+    together.  Spark broadcasts the rules where their size allows; beyond that a hot key such as one
+    severity is split by the skew handling of AQE.  Of so many keywords that the word filter is no
+    help, those that no log holds are first left out; a stream cannot be read ahead, so there each
+    micro-batch is exploded into all words that pass the filter.
     """
+    if not logs.isStreaming and rules.where("enabled AND filter_type = 'keyword'").select(
+            "filter_value").distinct().limit(MANY_WORDS).count() == MANY_WORDS:
+        rules = _held_rules(logs, rules)
     keyed = rules.where("enabled").select(
         F.col("tenant_id").alias("_tenant"), "metric_name", _rule_key().alias("_key"),
         F.coalesce("value_field", F.lit("")).alias("value_field"))

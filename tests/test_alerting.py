@@ -65,6 +65,17 @@ def test_rules_whatever_their_number(spark, logs, rules, beside):
     assert listed(RU.apply_rules(logs, rules.select(more.columns).unionByName(more))) == WANT
 
 
+def test_many_keywords_leave_only_those_that_logs_hold(spark, logs, rules):
+    """Of very many words the filter lets all pass, so the rules that no log can match go first."""
+    columns = ["tenant_id", "metric_name", "filter_type", "filter_value", "value_field", "enabled"]
+    idle = spark.range(RU.MANY_WORDS).selectExpr("'default'", "'idle'", "'keyword'", "concat('idle', id)", "''", "true")
+    other = spark.createDataFrame([("t2", "far", "keyword", "error", "", True)], columns)
+    found = RU.apply_rules(logs, rules.select(columns).union(idle).union(other))
+    assert listed(found) == WANT
+    held = spark.read.parquet(*found.inputFiles()).where("filter_type = 'keyword'")
+    assert sorted(r.metric_name for r in held.collect()) == ["kw", "kw2"]
+
+
 def test_rules_on_odd_rows(spark, logs):
     odd = logs.limit(1).select(*[F.lit(None).cast("string").alias("body") if c == "body"
                                  else F.lit("ERROR").alias(c) if c == "severity_text" else F.col(c)
