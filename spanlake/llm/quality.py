@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from spanlake.session import cut_lineage
+
 from .bytetext import chunks, fold_case, span_hashes, word_spans
 from .language import held_out
 
-#: At most so many labelled rows, the first by hash of their id, are used to learn from.
-SAMPLE_ROWS = 20_000
-PAIRS, STEPS, RIDGE, SEED = 100_000, 25, 1e-3, 11
+STEPS, RIDGE = 25, 1e-3
+#: Cells that all scores are counted in, and those that stand for their scores in the pairs.
+CELLS, PAIR_CELLS = 4096, 512
+#: Partitions of labelled rows; each sends its sums (0.3 MB at most) to the driver.
+MOST_PARTS = 200
 #: A score from this on predicts label 1.
 CUT = 0.7
 
@@ -106,32 +110,120 @@ def _basis(z: np.ndarray) -> np.ndarray:
     return np.hstack([z, z * z / 4])
 
 
-def fit_pairs(rows: np.ndarray, labels: np.ndarray) -> QualityModel:
-    """Weights by logistic loss on feature differences of (label 1, label 0) pairs, by Newton steps.
+#: Sums over all labelled rows of a function of some rows' features and labels.
+Total = Callable[[Callable[[np.ndarray, np.ndarray], np.ndarray]], np.ndarray]
+
+
+def _counts(rows: np.ndarray) -> np.ndarray:
+    return np.concatenate([[len(rows)], rows.sum(0)])
+
+
+def _cells(scores: np.ndarray, low: float, width: float) -> np.ndarray:
+    return np.clip(np.floor((scores - low) / width), 0, CELLS - 1).astype(int)
+
+
+def _slope_and_bend(total: Total, basis, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the mean loss over all pairs of a label 1 and a label 0.
+
+    A first pass counts scores in cells, and a cell's mean score stands for its rows.  What a row adds
+    depends on its own score and on how often each score of the other label occurs, so sums over rows
+    and by cell, of a second pass, stand for all pairs.
+    """
+    size, reach = len(weights), 4 * np.abs(weights).sum() + 1e-9
+    width = 2 * reach / CELLS
+
+    def counted(rows: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        scores = basis(rows) @ weights
+        cell = labels * CELLS + _cells(scores, -reach, width)
+        return np.array([np.bincount(cell, w, 2 * CELLS) for w in (None, scores)], float)
+
+    every = total(counted).reshape(2, 2, CELLS)
+    used = np.flatnonzero(every[0].sum(0))
+    first, step = used[0], (used[-1] - used[0]) // PAIR_CELLS + 1
+    many, scored = np.zeros((2, 2, PAIR_CELLS))
+    for k in (0, 1):
+        np.add.at(many[k], (used - first) // step, every[0, k, used])
+        np.add.at(scored[k], (used - first) // step, every[1, k, used])
+    share = many / many.sum(1, keepdims=True)
+    at = scored / np.maximum(many, 1)  # the mean score in a cell, by label
+    lost = 1 / (1 + np.exp(np.clip(at[1][:, None] - at[0][None], -30, 30)))  # [cell of label 1, cell of label 0]
+    curve = lost * (1 - lost)
+    own = np.array([share[1] @ curve, curve @ share[0]])  # of a row, by label and cell
+    grid = -reach + width * (first + step * np.arange(PAIR_CELLS + 1))
+    apart = np.clip([grid[:, None] - at[1][None], at[0][None] - grid[:, None]], -30, 30)
+    pull = np.array([-(1 / (1 + np.exp(-apart[0]))) @ share[1], 1 / (1 + np.exp(-apart[1])) @ share[0]])
+
+    def summed(rows: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        x = basis(rows)
+        scores = x @ weights
+        cell = (_cells(scores, -reach, width) - first) // step
+        by_cell = np.column_stack([np.bincount(labels * PAIR_CELLS + cell, column, 2 * PAIR_CELLS) for column in x.T])
+        squares = [(x[labels == k] * own[k][cell[labels == k], None]).T @ x[labels == k] for k in (0, 1)]
+        pulls = [np.interp(scores[labels == k], grid, pull[k]) @ x[labels == k] for k in (0, 1)]
+        return np.concatenate([by_cell.ravel(), *(q.ravel() for q in squares), *pulls])
+
+    sums, n = total(summed), many.sum(1)
+    by_cell, squares, pulls = np.split(sums, [2 * PAIR_CELLS * size, 2 * (PAIR_CELLS + size) * size])
+    worse, better = by_cell.reshape(2, PAIR_CELLS, size) / n[:, None, None]
+    squares = (squares.reshape(2, size, size) / n[:, None, None]).sum(0)
+    across = better.T @ curve @ worse
+    slope = (pulls.reshape(2, size) / n[:, None]).sum(0)
+    return slope - RIDGE * weights, squares - across - across.T + RIDGE * np.eye(size)
+
+
+def _quantile(total: Total, score, reach: float, n: int, share: float) -> float:
+    """The score at a share of all ``n``, between the two nearest: their cells are cut finer three times."""
+    rank = (n - 1) * share
+    ranks = np.array([int(rank), min(int(rank) + 1, n - 1)])
+    low, width = np.array([-reach, -reach]), 2 * reach / CELLS
+    for _ in range(3):
+
+        def counted(rows: np.ndarray, labels: np.ndarray) -> np.ndarray:
+            found = np.floor((score(rows)[:, None] - low) / width)
+            inside = np.clip(found, -1, CELLS).astype(int) + 1
+            return np.concatenate([np.bincount(inside[:, k], minlength=CELLS + 2) for k in (0, 1)]).astype(float)
+
+        until = np.cumsum(total(counted).reshape(2, CELLS + 2), axis=1)
+        cell = np.array([np.searchsorted(until[k], ranks[k], "right") for k in (0, 1)]) - 1
+        low, width = low + np.clip(cell, 0, CELLS - 1) * width, width / CELLS
+    return float(low[0] + (rank - int(rank)) * (low[1] - low[0]))
+
+
+def _learn(total: Total) -> QualityModel:
+    """Weights by logistic loss on feature differences of all (label 1, label 0) pairs, by Newton steps.
 
     The threshold is the score quantile at the share of label 0.  Without both labels there is no
     pair: every score is then the same, above the cut only if all labels are 1.
     """
     width = len(FEATURES)
-    good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
-    if not len(good) or not len(bad):
-        shift = -1.0 if len(good) else 1.0
+    both = total(lambda rows, labels: np.array([_counts(rows[labels == k]) for k in (0, 1)])).reshape(2, -1)
+    bad, good = (int(k) for k in both[:, 0])
+    if not good or not bad:
+        shift = -1.0 if good else 1.0
         return QualityModel(np.zeros(width), np.ones(width), np.zeros(2 * width), shift)
-    centre, scale = rows.mean(0), np.maximum(rows.std(0), 1e-6)
-    basis = _basis((rows - centre) / scale)
-    random = np.random.default_rng(SEED)
-    better, worse = random.choice(good, PAIRS), random.choice(bad, PAIRS)
-    gap = basis[better] - basis[worse]
-    weights = np.zeros(basis.shape[1])
+    n = good + bad
+    centre = both[:, 1:].sum(0) / n
+    spread = total(lambda rows, labels: ((rows - centre) ** 2).sum(0)) / n
+    scale = np.maximum(np.sqrt(spread), 1e-6)
+
+    def basis(rows: np.ndarray) -> np.ndarray:
+        return _basis((rows - centre) / scale)
+
+    weights = np.zeros(2 * width)
     for _ in range(STEPS):
-        lost = 1 / (1 + np.exp(np.clip(gap @ weights, -30, 30)))
-        slope = gap.T @ lost / PAIRS - RIDGE * weights
-        bend = (gap * (lost * (1 - lost))[:, None]).T @ gap / PAIRS + RIDGE * np.eye(len(weights))
+        slope, bend = _slope_and_bend(total, basis, weights)
         step = np.linalg.solve(bend, slope)
         weights = weights + step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4 * max(1, np.abs(weights).max()):
             break
-    return QualityModel(centre, scale, weights, float(np.quantile(basis @ weights, len(bad) / len(labels))))
+    reach = float(4 * np.abs(weights).sum() + 1e-9)
+    threshold = _quantile(total, lambda rows: basis(rows) @ weights, reach, n, bad / n)
+    return QualityModel(centre, scale, weights, threshold)
+
+
+def fit_pairs(rows: np.ndarray, labels: np.ndarray) -> QualityModel:
+    """The model of rows that are all here."""
+    return _learn(lambda some: some(rows, labels))
 
 
 def with_features(docs: DataFrame) -> DataFrame:
@@ -148,22 +240,40 @@ def with_features(docs: DataFrame) -> DataFrame:
         measure, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
-    """Learn from at most ``sample_rows`` labelled rows that are not held out.
+def _rows(batch: pa.RecordBatch) -> np.ndarray:
+    """The features of a batch whose first column is doc_id."""
+    return np.column_stack([batch.column(f).to_numpy(zero_copy_only=False) for f in FEATURES])
+
+
+def fit(measured: DataFrame, labels: DataFrame) -> QualityModel:
+    """Learn from all labelled rows that are not held out; ``measured`` is what ``with_features`` gives.
 
     Rows with a null id or label are no use and left out; a document with several labels counts
-    with each.  Of rows that repeat an id, the one with the least features counts, so at most
-    ``sample_rows`` rows reach the driver.
+    with each.  Of rows that repeat an id, the one with the least features counts.  Tasks sum over
+    their rows, and only sums reach the driver.
     """
     known = (labels.where("doc_id IS NOT NULL AND quality IN (0, 1)")
-             .where(~held_out(F.col("doc_id"), 2, 4)).select("doc_id", "quality")
-             .orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows))
-    # At most sample_rows ids, so a broadcast is bounded.
-    measured = with_features(docs.join(F.broadcast(known.select("doc_id").distinct()), "doc_id", "left_semi"))
-    single = measured.groupBy("doc_id").agg(F.min(F.struct(*FEATURES)).alias("least")).select("doc_id", "least.*")
-    rows = single.join(F.broadcast(known), "doc_id").orderBy("doc_id", *FEATURES, "quality").collect()
-    found = np.array([[r[f] for f in FEATURES] for r in rows], float).reshape(len(rows), len(FEATURES))
-    return fit_pairs(found, np.array([r.quality for r in rows], int))
+             .where(~held_out(F.col("doc_id"), 2, 4)).select("doc_id", "quality"))
+    single = (measured.join(known.select("doc_id").distinct(), "doc_id", "left_semi")
+              .groupBy("doc_id").agg(F.min(F.struct(*FEATURES)).alias("least")).select("doc_id", "least.*"))
+    rows = single.join(known, "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), *FEATURES)
+    # Sums of reruns agree to the last bit, as rows come in the same order.
+    learned = cut_lineage(rows.sortWithinPartitions("doc_id", *FEATURES, "quality"), "quality").coalesce(MOST_PARTS)
+
+    def total(some: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = some(np.zeros((0, len(FEATURES))), np.zeros(0, int))
+            for batch in batches:
+                found = found + some(_rows(batch), batch.column("quality").to_numpy(zero_copy_only=False).astype(int))
+            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(found, float).tobytes()], pa.binary())], ["sums"])
+
+        parts = learned.mapInArrow(add, "sums binary").collect()
+        whole = some(np.zeros((0, len(FEATURES))), np.zeros(0, int)).astype(float)
+        for part in parts:
+            whole = whole + np.frombuffer(part.sums).reshape(whole.shape)
+        return whole
+
+    return _learn(total)
 
 
 def quality_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -171,16 +281,15 @@ def quality_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     A score uses the whole text alone, however long.  Null text scores as an empty one; repeated rows and equal
     texts get the same score; other columns, whatever their names, are not read; an empty table gives no rows.
+    Features are measured once and stored; the model learns from them and scores them.
     """
-    model = fit(docs, labels)
+    measured = cut_lineage(with_features(docs), "features")
+    model = fit(measured, labels)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, data, at in chunks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, high - low), pa.array(model.score(features(data, at)))],
-                    ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_rows(batch)))], ["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(rate, "doc_id long, score double")
+    scored = measured.mapInArrow(rate, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id"), 2, 4).alias("held_out"), "score",
                          (F.col("score") >= CUT).cast("int").alias("predicted"))

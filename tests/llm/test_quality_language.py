@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from helpers import crc, documents, prose
+from pyspark.sql import functions as F
 
 from spanlake.llm import language, quality
 
@@ -106,3 +107,30 @@ def test_pairs_find_the_direction(seed):
     labels = (rows[:, 2] + 0.1 * rnd.normal(size=400) > -0.5).astype(int)
     model = quality.fit_pairs(rows, labels)
     assert np.mean((model.score(rows) >= quality.CUT) == labels) > 0.95
+
+
+def test_every_pair_counts():
+    """The loss over all pairs is least at the weights, also if the rows are many more than any sample."""
+    rnd = np.random.default_rng(4)
+    rows = rnd.normal(size=(300, len(quality.FEATURES)))
+    labels = (rows[:, 2] - rows[:, 5] + rnd.normal(size=300) > 0.3).astype(int)
+    model = quality.fit_pairs(rows, labels)
+    basis = quality._basis((rows - rows.mean(0)) / rows.std(0))
+    gap = (basis[labels == 1][:, None] - basis[labels == 0][None]).reshape(-1, basis.shape[1])
+    slope = gap.T @ (1 / (1 + np.exp(gap @ model.weights))) / len(gap) - quality.RIDGE * model.weights
+    assert np.abs(slope).max() < 1e-4
+    assert np.isclose(model.threshold, np.quantile(basis @ model.weights, np.mean(labels == 0)), atol=1e-6)
+    assert np.allclose(quality.fit_pairs(np.tile(rows, (80, 1)), np.tile(labels, 80)).weights, model.weights, atol=1e-3)
+
+
+def test_all_labelled_rows_are_learned_from(spark):
+    """More labelled rows than any former bound, in several partitions: as if all rows were in one place."""
+    n = 24_000
+    noise = [((F.xxhash64("id", F.lit(k)) % 1000) / 1000.0).alias(f) for k, f in enumerate(quality.FEATURES)]
+    measured = spark.range(n).select(F.col("id").alias("doc_id"), *noise).repartition(5)
+    label = (F.col("letters") + (F.xxhash64("doc_id", F.lit(99)) % 1000) / 1000.0 > 0.2).cast("int").alias("quality")
+    model = quality.fit(measured, measured.select("doc_id", label))
+    kept = measured.select("*", label).where(~language.held_out(F.col("doc_id"), 2, 4)).toPandas()
+    whole = quality.fit_pairs(kept[list(quality.FEATURES)].to_numpy(), kept.quality.to_numpy())
+    assert len(kept) < n and np.allclose(model.centre, whole.centre) and np.allclose(model.weights, whole.weights, atol=1e-6)
+    assert np.isclose(model.threshold, whole.threshold, atol=1e-6)
