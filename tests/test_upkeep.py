@@ -1,11 +1,13 @@
 """Packing, retention, dead letters and lookups over stored tables."""
 
 import json
+from datetime import date
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spanlake.functions.text import match_tokens
+from spanlake.functions.text import match_tokens, words
 from spanlake.schemas import LOGS, SPANS
 from spanlake.sources import lookup, otlp, tables, upkeep
 from spanlake.streaming.ingest import DEAD_LETTERS, stream_ingest
@@ -143,6 +145,35 @@ def test_token_lookup_equals_search(spark, stored_logs, query, days):
     assert len(got.limit(1).inputFiles() and read_files(got) if bodies(got) else ()) == days
 
 
+def test_file_words_come_once_a_file(monkeypatch):
+    """Over batches and cuts of a file; what no longer fits goes out early."""
+    bodies = ["a b,a", None, "", "-é--b\x00c", "x" * 50, "b"]
+    rows = [("t", date(2024, 3, 1), f, b) for f in ("f1", "f1", "f2") for b in bodies]
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.date32(), pa.string(), pa.string()))]
+    whole = pa.RecordBatch.from_arrays(columns, ["tenant_id", "date", "file", "body"])
+    batches = [whole.slice(0, 4), whole.slice(4, 0), whole.slice(4, 7), whole.slice(11)]
+    monkeypatch.setattr(lookup, "CHARS_AT_ONCE", 20)
+    monkeypatch.setattr(lookup, "ROWS_AT_ONCE", 2)
+    every = ["", "a", "b", "c", "x" * 50, "é"]
+
+    def found():
+        got = [r for b in lookup._file_words(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
+        return sorted((f, w) for t, d, f, w in got if (t, d) == ("t", date(2024, 3, 1)))
+
+    assert found() == [(f, w) for f in ("f1", "f2") for w in every]
+    monkeypatch.setattr(lookup, "HELD_WORDS", 1)
+    assert set(found()) == {(f, w) for f in ("f1", "f2") for w in every}
+
+
+def test_token_index_has_the_words_of_each_file(spark, stored_logs):
+    path, index = stored_logs
+    logs = spark.read.schema(LOGS).parquet(path).select(
+        F.regexp_extract("_metadata.file_path", "(tenant_id=.*)$", 1).alias("file"),
+        F.explode(F.concat(F.array(F.lit("")), words(F.coalesce("body", F.lit(""))))).alias("token")).distinct()
+    got = [(r.file, r.token) for r in spark.read.parquet(index).select("file", "token").collect()]
+    assert sorted(got) == sorted((r.file, r.token) for r in logs.collect())
+
+
 def test_token_lookup_of_an_old_index_and_a_range(spark, stored_logs):
     path, index = stored_logs
     more = tables.scan(spark, path, LOGS).where("body LIKE '%word30 %'").drop("date").withColumn("body", F.lit("rare late"))
