@@ -21,6 +21,9 @@ SIGNALS = {
 #: Write pace per table; profiles are flushed less often.
 TRIGGERS = {"profiles": {"processingTime": "5 seconds"}}
 
+#: Rows of a micro-batch that one task sorts and writes, more or less.
+ROWS_PER_TASK = 1 << 18
+
 #: Columns with a bloom filter in the files of a table.
 BLOOMS = {"spans": "trace_id", "logs": "trace_id"}
 
@@ -31,8 +34,9 @@ def stream_ingest(messages: DataFrame, signal: str, path: str, checkpoint: str,
 
     A micro-batch is parsed once and kept while both tables are written.  Each writes the batch to a folder
     of its own, sorted and with bloom filters, and replaces what is there: a batch that runs again after a
-    failure adds nothing.  The query's progress counts decodable and undecodable messages under the observed
-    metric ``ingest``.  A day's batches are packed by :func:`~spanlake.sources.upkeep.compact` once it is over.
+    failure adds nothing.  Decodable rows are counted first, so that no task sorts many more than ROWS_PER_TASK.
+    The query's progress counts decodable and undecodable messages under the observed metric ``ingest``.  A
+    day's batches are packed by :func:`~spanlake.sources.upkeep.compact` once it is over.
     """
     table, schema, transform = SIGNALS[signal]
     rows = messages
@@ -47,8 +51,9 @@ def stream_ingest(messages: DataFrame, signal: str, path: str, checkpoint: str,
             return
         held = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            good = held.where("reason IS NULL").drop("reason")
-            write_table(transform(good), path, table, bloom=BLOOMS.get(table), batch=number)
+            good = transform(held.where("reason IS NULL").drop("reason"))
+            write_table(good, path, table, bloom=BLOOMS.get(table), batch=number,
+                        parts=good.count() // ROWS_PER_TASK + 1)
             if dead is not None:
                 (held.where("reason IS NOT NULL").select("value", "reason", F.lit(number).alias(BATCH))
                  .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(dead))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spanlake.functions.text import match_tokens, words
 from spanlake.schemas import LOGS, SPANS
 from spanlake.sources import lookup, otlp, tables, upkeep
+from spanlake.streaming import ingest
 from spanlake.streaming.ingest import DEAD_LETTERS, stream_ingest
 from conftest import at
 
@@ -50,6 +51,20 @@ def test_dead_letters_and_counts(spark, ingested):
     assert (sum(c.good for c in counts), sum(c.bad for c in counts)) == (200 - len(bad), len(bad))
 
 
+def test_a_large_batch_is_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    """Also if all spans have the same time: no task sorts the whole batch."""
+    monkeypatch.setattr(ingest, "ROWS_PER_TASK", 50)
+    root = str(tmp_path)
+    messages = [json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": [{"name": f"s{k}"}]}]}]}) for k in range(400)]
+    spark.createDataFrame([(m,) for m in messages], "value string").coalesce(1).write.text(f"{root}/in")
+    stream = spark.readStream.format("text").load(f"{root}/in")
+    stream_ingest(stream, "traces", f"{root}/spans", f"{root}/c", {"availableNow": True}, f"{root}/dead").awaitTermination()
+    stored = spark.read.parquet(f"{root}/spans")
+    assert sorted(r.name for r in stored.collect()) == sorted(f"s{k}" for k in range(400))
+    each = [r["count"] for r in stored.groupBy(F.input_file_name()).count().collect()]
+    assert len(each) > 4 and max(each) < 200
+
+
 def test_replayed_batch_adds_nothing(spark, ingested):
     import glob
     import os
