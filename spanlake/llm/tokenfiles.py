@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from spanlake.session import run_dir
@@ -24,24 +25,26 @@ from . import huffman
 from .bytetext import CHUNK_BYTES, chunks, column_bytes, worker_cache
 
 END_ID = 2
-#: Pieces kept per Python worker with their ids, in each of two generations; longer ones are not kept.
-CACHED_PIECES, CACHED_CHARS = 200_000, 40
+#: Pieces kept per Python worker with their ids; longer ones are not kept.
+CACHED_PIECES, CACHED_CHARS = 500_000, 40
 #: Words that one call of the tokenizer gets.
 LINE = 256
-_MARKS = frozenset(string.punctuation)
-ROWS_AT_ONCE, CHARS_AT_ONCE = 1000, 2_000_000
+_MARK = np.zeros(256, bool)
+_MARK[list(string.punctuation.encode())] = True
+CHARS_AT_ONCE = 4_000_000
 BLOCK_BYTES = 1 << 20
 DOCS_PER_PART, MOST_PARTS = 5_000, 50_000
 
 
-def _word_tokenizer(tokenizer):
-    """The same vocabulary for lines of words that folding leaves as they are: cut at spaces, nothing folded."""
-    from tokenizers import Tokenizer, normalizers, pre_tokenizers as pre
+def _word_tokenizers(tokenizer):
+    """The same vocabulary for lines of words that folding leaves as they are: cut at spaces, nothing folded.
+    One for words of a-z, which are their own bytes' characters, and one for all words."""
+    from tokenizers import Tokenizer, pre_tokenizers as pre
 
-    plain = Tokenizer(tokenizer.model)
-    plain.normalizer = normalizers.Sequence([])
+    small, plain = Tokenizer(tokenizer.model), Tokenizer(tokenizer.model)
+    small.pre_tokenizer = pre.WhitespaceSplit()
     plain.pre_tokenizer = pre.Sequence([pre.WhitespaceSplit(), pre.ByteLevel(add_prefix_space=False, use_regex=False)])
-    return plain
+    return small, plain
 
 
 def _tokenizer(path: str):
@@ -50,10 +53,11 @@ def _tokenizer(path: str):
     if getattr(cache, "path", None) != path:
         from tokenizers import Tokenizer
 
-        cache.path, cache.young, cache.old = path, {}, {}
+        cache.path = path
+        cache.pieces, cache.ids, cache.n = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(0, np.int64)
         cache.letters, cache.others, cache.stable = set(), set(), set(string.ascii_lowercase)
         cache.tokenizer = Tokenizer.from_file(path)
-        cache.plain = _word_tokenizer(cache.tokenizer)
+        cache.small, cache.plain = _word_tokenizers(cache.tokenizer)
     return cache.tokenizer, cache
 
 
@@ -87,90 +91,118 @@ def _is_word(piece: str, tokenizer, cache) -> bool:
     return good == fresh
 
 
-def _encode_pieces(tokenizer, cache, pieces: list[str], found: dict[str, bytes]) -> None:
-    """Ids (little-endian 32-bit) of the pieces, by the tokenizer.
+def _of_a_z(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which spans are not empty and all of the letters a-z."""
+    other = np.r_[0, np.cumsum((data < 97) | (data > 122))]
+    return (ends > starts) & (other[ends] == other[starts])
+
+
+def _strung(ids: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``n`` ids from ``starts`` on, in a row, and the offsets of the runs in it."""
+    at = np.r_[0, np.cumsum(n)]
+    return ids[np.repeat(starts - at[:-1], n) + np.arange(at[-1])], at
+
+
+def _encode_pieces(tokenizer, cache, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pieces in a row, and the number of ids of each, by the tokenizer.
 
     Pieces that are one word each go in one line, whose word numbers tell them apart; a line
     with another number of words than pieces, and any other piece, is encoded piece by piece.
-    Words that folding leaves as they are go to a tokenizer that does not fold.
+    Words that folding leaves as they are go to tokenizers that do not fold.
     """
+    data, at = column_bytes(pieces)
+    easy = _of_a_z(data, at[:-1], at[1:])
+    small, odd = np.flatnonzero(easy), np.flatnonzero(~easy)
+    texts = pieces.to_pylist()
     words, plain, rest = [], [], []
-    for piece in pieces:
+    for k in odd.tolist():
+        piece = texts[k]
         if not _is_word(piece, tokenizer, cache):
-            rest.append(piece)
+            rest.append(k)
         elif cache.stable.issuperset(piece) and (piece.isascii() or unicodedata.is_normalized("NFC", piece)):
-            plain.append(piece)
+            plain.append(k)
         else:
-            words.append(piece)
-    for coder, some in ((tokenizer, words), (cache.plain, plain)):
+            words.append(k)
+    order, n, ids = [], [], []
+    for coder, some in ((cache.small, small.tolist()), (cache.plain, plain), (tokenizer, words)):
         lines = [some[k:k + LINE] for k in range(0, len(some), LINE)]
         for low in range(0, len(lines), 100):
-            coded = coder.encode_batch([" ".join(x) for x in lines[low:low + 100]], add_special_tokens=False)
-            for line, got in zip(lines[low:low + 100], coded):
-                numbers = np.array(got.word_ids)
+            here = lines[low:low + 100]
+            coded = coder.encode_batch([" ".join([texts[k] for k in x]) for x in here], add_special_tokens=False)
+            for line, got in zip(here, coded):
+                numbers = np.array(got.word_ids, np.int64)
                 if len(numbers) == 0 or numbers[-1] + 1 != len(line):
                     rest += line
                     continue
-                raw = np.array(got.ids, "<u4").tobytes()
-                at = (np.searchsorted(numbers, np.arange(len(line) + 1)) * 4).tolist()
-                found.update(zip(line, [raw[x:y] for x, y in zip(at, at[1:])]))
+                order += line
+                n.append(np.bincount(numbers, minlength=len(line)))
+                ids.append(np.array(got.ids, "<u4"))
     for low in range(0, len(rest), 20_000):
         some = rest[low:low + 20_000]
-        for piece, got in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-            found[piece] = np.array(got.ids, "<u4").tobytes()
-
-
-def _piece_ids(path: str, pieces: set[str]) -> dict[str, bytes]:
-    """A dictionary with the ids of at least the pieces, from this worker's cache or the tokenizer."""
+        coded = [got.ids for got in tokenizer.encode_batch_fast([texts[k] for k in some], add_special_tokens=False)]
+        order += some
+        n.append(np.array([len(c) for c in coded], np.int64))
+        ids.append(np.array([i for c in coded for i in c], "<u4"))
+    if not order:
+        return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+    n, back = np.concatenate(n), np.argsort(np.array(order))
+    out, _ = _strung(np.concatenate(ids), (np.cumsum(n) - n)[back], n[back])
+    return out, n[back]
+
+
+def _known_pieces(path: str, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, and where among them each piece's begin and how many they are, from this worker's cache or the
+    tokenizer.  The pieces are all different."""
     tokenizer, cache = _tokenizer(path)
-    if len(cache.young) > CACHED_PIECES:
-        cache.young, cache.old = {}, cache.young
-    young, old = cache.young, cache.old
-    new = pieces.difference(young)
-    again = new.intersection(old)
-    young.update([(p, old[p]) for p in again])
-    new -= again
-    fresh = {p for p in new if p[-1:] not in _MARKS}
-    ended = []
-    for piece in new - fresh:
-        letters = piece.rstrip(string.punctuation)
-        if not _is_word(letters, tokenizer, cache):
-            fresh.add(piece)
-            continue
-        ended.append((piece, letters, piece[len(letters):]))  # two words to the tokenizer
-        for part in ended[-1][1:]:
-            if part not in young:
-                if part in old:
-                    young[part] = old[part]
-                else:
-                    fresh.add(part)
-    long = [p for p in fresh if len(p) > CACHED_CHARS]
-    _encode_pieces(tokenizer, cache, list(fresh), young)
-    for piece, letters, marks in ended:
-        young[piece] = young[letters] + young[marks]
-    long += [p for p, _, _ in ended if len(p) > CACHED_CHARS]
-    if long:
-        found = dict(young)
-        for piece in long:
-            young.pop(piece, None)
-        return found
-    return young
+    found = pc.index_in(pieces, value_set=cache.pieces)
+    fresh = pieces.filter(pc.is_null(found))
+    ids, n = _encode_pieces(tokenizer, cache, fresh)
+    place = found.fill_null(-1).to_numpy().astype(np.int64)
+    place[place < 0] = len(cache.pieces) + np.arange(len(fresh))
+    every = pa.concat_arrays([cache.pieces, fresh])
+    ids, n = np.r_[cache.ids, ids], np.r_[cache.n, n]
+    starts = np.cumsum(n) - n
+    # Once they are too many, only what the last texts had stays.
+    keep = place if len(every) > CACHED_PIECES else np.arange(len(every))
+    short = pc.less_equal(pc.utf8_length(every), CACHED_CHARS).to_numpy(zero_copy_only=False)
+    keep = keep[short[keep]][:CACHED_PIECES]
+    if len(keep) == len(every):
+        cache.pieces, cache.ids, cache.n = every, ids, n
+    else:
+        cache.pieces, cache.n = every.take(pa.array(keep)), n[keep]
+        cache.ids, _ = _strung(ids, starts[keep], n[keep])
+    return ids, starts[place], n[place]
+
+
+def _cut_marks(path: str, pieces: pa.StringArray) -> pa.StringArray:
+    """Two parts of each piece, one after the other: a word and the ASCII marks that end the piece, which are two
+    words to the tokenizer; or the whole piece and nothing."""
+    tokenizer, cache = _tokenizer(path)
+    data, at = column_bytes(pieces)
+    starts, ends = at[:-1], at[1:]
+    last = np.r_[-1, np.maximum.accumulate(np.where(_MARK[data], -1, np.arange(len(data))))]
+    cut = np.maximum(last[ends] + 1, starts)
+    easy = _of_a_z(data, starts, cut)
+    for k in np.flatnonzero((starts < cut) & (cut < ends) & ~easy).tolist():
+        easy[k] = _is_word(data[starts[k]:cut[k]].tobytes().decode(), tokenizer, cache)
+    cut = np.where(easy, cut, ends)
+    offsets = np.r_[np.c_[starts, cut].ravel(), at[-1:]].astype(np.int32)
+    return pa.StringArray.from_buffers(2 * len(pieces), pa.py_buffer(offsets), pa.py_buffer(data))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """Document ids and texts of few rows at a time."""
+    """Document ids and texts of as many rows as have CHARS_AT_ONCE characters."""
+    ids, texts, chars = [], [], 0
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        low = 0
-        for low in range(0, len(ids), ROWS_AT_ONCE):
-            some_ids = ids.slice(low, ROWS_AT_ONCE).to_pylist()
-            some = [t or "" for t in texts.slice(low, ROWS_AT_ONCE).to_pylist()]
-            begin, chars = 0, 0
-            for k, text in enumerate(some):
-                chars += len(text)
-                if chars >= CHARS_AT_ONCE or k == len(some) - 1:
-                    yield some_ids[begin:k + 1], some[begin:k + 1]
-                    begin, chars = k + 1, 0
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ids.append(doc_id)
+            texts.append(text.as_py() or "")
+            chars += len(texts[-1])
+            if chars >= CHARS_AT_ONCE:
+                yield ids, texts
+                ids, texts, chars = [], [], 0
+    if ids:
+        yield ids, texts
 
 
 def _id_runs(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -181,8 +213,8 @@ def _id_runs(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[lis
             yield batch.column(0).slice(low, high - low).to_pylist(), np.frombuffer(data.tobytes(), kind), at // size
 
 
-def _split(text: str) -> list[str]:
-    """Pieces between spaces, in lower case where that is what the vocabulary's own folding does.
+def _folded(text: str) -> str:
+    """The text in lower case where that is what the vocabulary's own folding does, lines joined by spaces.
 
     The vocabulary composes characters first and folds case afterwards, letter by letter: texts
     that folding would compose anew, or fold by context, keep their case.
@@ -193,19 +225,32 @@ def _split(text: str) -> list[str]:
         folded = text.lower()
         if unicodedata.is_normalized("NFC", folded):
             text = folded
-    return text.replace("\n", " ").split(" ")
+    return text.replace("\n", " ")
 
 
-def encode_texts(path: str, texts: list[str]) -> list[bytes]:
-    """Ids of each text.
+def _text_ids(path: str, texts: list[str], kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, and the n + 1 offsets of the texts among them.
 
     The vocabulary folds case and cuts every text at white space before anything else and drops
     the white space, so a text's ids are those of its pieces between spaces; each piece meets the
     tokenizer once while a worker keeps it.  A tokenizer without that property is refused.
     """
-    pieces = [_split(t) for t in texts]
-    ids = _piece_ids(path, set().union(*pieces))
-    return [b"".join(map(ids.__getitem__, words)) for words in pieces]
+    split = pc.split_pattern(pa.array([_folded(t) for t in texts], pa.string()), " ")
+    pieces = split.values.dictionary_encode()
+    parts = _cut_marks(path, pieces.dictionary).dictionary_encode()
+    ids, starts, n = _known_pieces(path, parts.dictionary)
+    part = parts.indices.to_numpy()
+    ids, at = _strung(ids.astype(kind), starts[part], n[part])
+    at = at[::2]  # of the pieces: two parts each
+    piece = pieces.indices.to_numpy()
+    ids, at = _strung(ids, at[piece], np.diff(at)[piece])
+    return ids, at[split.offsets.to_numpy()]
+
+
+def encode_texts(path: str, texts: list[str]) -> list[bytes]:
+    """Ids (little-endian 32-bit) of each text."""
+    ids, at = _text_ids(path, texts, "<u4")
+    return [ids[x:y].tobytes() for x, y in zip(at, at[1:])]
 
 
 def _check_tokenizer(path: str) -> int:
@@ -224,11 +269,10 @@ def encode_documents(docs: DataFrame, path: str, n_ids: int, end_id: int | None)
     tail = b"" if end_id is None else np.array([end_id], kind).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = np.dtype(kind).itemsize
         for doc_ids, texts in _groups(batches):
-            coded = encode_texts(path, texts)
-            size = np.dtype(kind).itemsize
-            raw = np.frombuffer(b"".join(coded), "<u4").astype(kind).tobytes()
-            at = np.cumsum([0, *[len(c) // 4 * size for c in coded]]).tolist()
+            ids, at = _text_ids(path, texts, kind)
+            raw, at = ids.tobytes(), (at * size).tolist()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc_ids, pa.int64()),
                  pa.array([raw[x:y] + tail for x, y in zip(at, at[1:])], pa.binary())], ["doc_id", "ids"])

@@ -1,8 +1,10 @@
 import sys
+import types
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers import documents, prose
 from hypothesis import given, settings, strategies as st
@@ -128,3 +130,56 @@ def test_empty(spark):
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError):
         tokenfiles._check_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _letters(k: int) -> str:
+    """A word of letters for each number."""
+    word = ""
+    while True:
+        k, digit = divmod(k, 26)
+        word += chr(97 + digit)
+        if not k:
+            return word
+
+
+def test_words_stay_known(monkeypatch):
+    """What a worker has met does not meet the tokenizer again, also after many other words."""
+    seen, encode = [], tokenfiles._encode_pieces
+    monkeypatch.setattr(tokenfiles, "_encode_pieces", lambda t, c, p, *more: seen.append(len(p)) or encode(t, c, p, *more))
+    monkeypatch.setattr(tokenfiles, "worker_cache", lambda name, own=types.SimpleNamespace(): own)
+    first = " ".join(f"q{_letters(k)}q" for k in range(50))
+    tokenfiles.encode_texts(PATH, [first])
+    for low in (0, 220_000):
+        tokenfiles.encode_texts(PATH, [" ".join(_letters(k) + "x" for k in range(low, low + 220_000))])
+    assert sum(seen) >= 440_000
+    seen.clear()
+    got = tokenfiles.encode_texts(PATH, [first])[0]
+    assert sum(seen) == 0
+    assert np.frombuffer(got, "<u4").tolist() == WHOLE.encode(first, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("kept", [0, 7, 60])
+def test_full_cache_gives_the_same_ids(monkeypatch, kept):
+    monkeypatch.setattr(tokenfiles, "CACHED_PIECES", kept)
+    monkeypatch.setattr(tokenfiles, "worker_cache", lambda name, own=types.SimpleNamespace(): own)
+    texts = [t or "" for t in ODD] + [prose(k, 40).title() + "!? Été, " + _letters(k) * 30 for k in range(40)]
+    texts += ["word", "word.", "word,%%%", "'s", "s'", "don't.", "İx.", "é́.", "é!", "..", ".a.", "<|endoftext|>."]
+    for low in range(0, len(texts), 5):
+        some = texts[low:low + 5] + texts[:3]
+        for text, got in zip(some, tokenfiles.encode_texts(PATH, some), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("chars", [1, 200, 10_000])
+def test_groups_run_on_over_batches(monkeypatch, chars):
+    """Texts of several Arrow batches are taken together, and none is lost or changed."""
+    monkeypatch.setattr(tokenfiles, "CHARS_AT_ONCE", chars)
+    rows = [(k, t) for k, t in enumerate([*ODD, *[prose(k, 9) for k in range(20)], None])]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows[k:k + 4]], pa.int64()),
+                                           pa.array([t for _, t in rows[k:k + 4]], pa.string())], ["doc_id", "text"])
+               for k in range(0, len(rows), 4)]
+    groups = list(tokenfiles._groups(iter(batches)))
+    assert [(i, t) for ids, texts in groups for i, t in zip(ids, texts, strict=True)] == [(i, t or "") for i, t in rows]
+    assert all(sum(map(len, texts[:-1])) < chars for _, texts in groups)
+    assert (len(groups) == 1) == (chars == 10_000)
+    assert list(tokenfiles._groups(iter([]))) == []
