@@ -66,6 +66,20 @@ def test_text_longer_than_a_run(spark, monkeypatch):
     assert collected(repeats.repeats_table(table(spark, rows))) == plain(rows, repeats.LENGTH, False)
 
 
+def test_passages_of_over_fifty_words(spark):
+    """A repeated passage goes wholly from LENGTH bytes on and stays below, whatever its words; clean texts stay."""
+    rows, gone = [(k, prose(500 + k, 150)) for k in range(8)], dict.fromkeys(range(8), 0)
+    for size in (repeats.LENGTH - 1, repeats.LENGTH, repeats.LENGTH + 1, 2 * repeats.LENGTH):
+        passage = prose(size, 200).replace("é", "e").replace("ñ", "n")[:size]
+        assert len(passage.encode()) == size and len(passage.split()) > 50
+        for side in "AB":
+            rows.append((len(rows), prose(600 + len(rows), 70) + side + passage + side + prose(700 + len(rows), 70)))
+            gone[rows[-1][0]] = size if size >= repeats.LENGTH else 0
+    got = repeats.repeats_table(table(spark, rows))
+    assert {r.doc_id: r.n_removed for r in got.collect()} == gone
+    assert collected(got) == plain(rows, repeats.LENGTH, False)
+
+
 def test_empty(spark):
     assert repeats.repeats_table(documents(spark, [])).count() == 0
 
