@@ -1,6 +1,8 @@
 """Packing, retention, dead letters and lookups over stored tables."""
 
 import json
+import os
+import time
 from datetime import date
 
 import pyarrow as pa
@@ -189,6 +191,79 @@ def test_token_index_has_the_words_of_each_file(spark, stored_logs):
     assert sorted(got) == sorted((r.file, r.token) for r in logs.collect())
 
 
+def shuffle_bytes(spark):
+    """Bytes of shuffle files on local disk."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = (os.path.join(at, f) for d in folders for at, _, names in os.walk(str(d)) for f in names)
+    return sum(os.path.getsize(f) for f in files if "shuffle_" in f and os.path.exists(f))
+
+
+def shuffles_left(spark, before):
+    """Bytes of shuffle files beyond ``before``, as soon as there are none or after ten seconds."""
+    ends = time.time() + 10
+    while (left := shuffle_bytes(spark) - before) > 0 and time.time() < ends:
+        time.sleep(0.2)
+    return max(left, 0)
+
+
+@pytest.fixture
+def many_logs(spark):
+    """Two logs an hour of four days and 300 in one second of the fifth, some without a time or a body."""
+    times = [at(30 * k) for k in range(2 * 24 * 4)] + [at(4 * 24 * 60)] * 300 + [None] * 3
+    return spark.createDataFrame(
+        [("default" if k % 5 else "other", t, f"{k % 9:032x}", f"s{k}", 9, "INFO", f"s{k % 3}", "prod",
+          None if k % 7 == 0 else f"w{k} " * 20, ["k"], [None if k % 4 else "v"]) for k, t in enumerate(times)], LOGS)
+
+
+def log_rows(df):
+    return sorted((r.tenant_id, r.span_id, r.timestamp or at(0), r.body or "", str(r.date)) for r in df.collect())
+
+
+def test_pieces_meet_each_row_once(spark, many_logs):
+    """Also rows without a time, and a second with more than a piece may have."""
+    for split in (True, False):
+        pieces = tables._pieces(many_logs, "timestamp", 10_000, split)
+        found = [many_logs.where(p) for p in pieces]
+        sizes = [f.agg(F.sum(tables._row_bytes(f)).alias("n")).first().n or 0 for f in found]
+        assert sorted(r.span_id for f in found for r in f.collect()) == sorted(r.span_id for r in many_logs.collect())
+        # A day has 48 logs of about 220 bytes, the second 300.
+        assert len(pieces) > (8 if split else 4) and (max(sizes) < 20_000 if split else max(sizes) > 40_000)
+    assert len(tables._pieces(many_logs, "timestamp", 1 << 30, True)) == 1
+    assert tables.packed([("a", 3), ("b", 2), ("c", 9), ("d", 1)], 5) == [["a", "b"], ["c"], ["d"]]
+    assert tables.packed([], 5) == []
+
+
+@pytest.mark.parametrize("batch", [None, 3])
+def test_a_table_written_in_pieces_is_the_same(spark, many_logs, tmp_path, batch):
+    at_once, pieces = str(tmp_path / "at_once"), str(tmp_path / "pieces")
+    tables.write_table(many_logs, at_once, "logs", batch=batch)
+    before = shuffle_bytes(spark)
+    tables.write_table(many_logs, pieces, "logs", batch=batch, at_once=30_000)
+    assert shuffles_left(spark, before) == 0
+    read = [spark.read.schema(LOGS).parquet(p) for p in (at_once, pieces)]
+    assert log_rows(read[0]) == log_rows(read[1]) and read[1].count() == 495
+    if batch is not None:
+        tables.write_table(many_logs, pieces, "logs", batch=batch, at_once=30_000)
+        assert spark.read.schema(LOGS).parquet(pieces).count() == 495
+    tables.write_table(many_logs.limit(0), str(tmp_path / "none"), "logs", at_once=10_000)
+    assert spark.read.schema(LOGS).parquet(str(tmp_path / "none")).count() == 0
+
+
+def test_token_index_by_days(spark, many_logs, tmp_path, monkeypatch):
+    """Few days at once give the index of all at once, and leave no shuffles."""
+    path, indexes = str(tmp_path / "logs"), [str(tmp_path / n) for n in ("all", "days", "late")]
+    tables.write_table(many_logs, path, "logs")
+    lookup.index_tokens(spark, path, indexes[0])
+    monkeypatch.setattr(lookup, "STORED_AT_ONCE", 1, raising=False)
+    before = shuffle_bytes(spark)
+    lookup.index_tokens(spark, path, indexes[1])
+    assert shuffles_left(spark, before) == 0
+    lookup.index_tokens(spark, path, indexes[2], ["2024-03-03", "2024-03-05", "2030-01-01"])
+    found = [sorted(map(str, spark.read.parquet(i).collect())) for i in indexes]
+    assert found[0] == found[1] and any("date=None" in r for r in found[0])
+    assert found[2] == [r for r in found[0] if "date(2024, 3, 3)" in r or "date(2024, 3, 5)" in r]
+
+
 def test_token_lookup_of_an_old_index_and_a_range(spark, stored_logs):
     path, index = stored_logs
     more = tables.scan(spark, path, LOGS).where("body LIKE '%word30 %'").drop("date").withColumn("body", F.lit("rare late"))
